@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("file", "row")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = encode_decode(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op5_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleaved_shards
 
@@ -38,8 +51,25 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, span_text
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    spans = find_personal_data(spark, docs)
+    spans = spans.withColumn("base", F.filter("spans", lambda x: x["base"]))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    return spans.select(
+        "doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op5_interleaved_shards, op6_mix_sources, op9_line_dedup,
+    op1_exact_dedup, op4_bpe, op5_interleaved_shards, op6_mix_sources, op9_line_dedup, op10_personal_data,
 )}
 
 
