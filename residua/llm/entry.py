@@ -12,6 +12,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("file", "row")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return jaccard_components(spark, docs, width=4, similarity=(85, 100))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +76,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op4_bpe, op5_interleaved_shards, op6_mix_sources, op9_line_dedup, op10_personal_data,
+    op1_exact_dedup, op3_jaccard_join, op4_bpe, op5_interleaved_shards, op6_mix_sources, op9_line_dedup, op10_personal_data,
 )}
 
 
