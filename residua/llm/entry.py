@@ -12,6 +12,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(spark, f"{sf_dir}/documents.parquet").drop("file", "row")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify_quality
+
+    return classify_quality(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
@@ -49,6 +55,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -76,7 +88,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_jaccard_join, op4_bpe, op5_interleaved_shards, op6_mix_sources, op9_line_dedup, op10_personal_data,
+    op1_exact_dedup, op2_quality, op3_jaccard_join, op4_bpe, op5_interleaved_shards, op6_mix_sources, op8_licenses, op9_line_dedup, op10_personal_data,
 )}
 
 
