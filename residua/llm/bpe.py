@@ -17,6 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import column
 
@@ -163,6 +164,7 @@ def codec(path: str) -> Codec:
 
 def encode_decode(
     spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Encode each whole text and decode the ids again.
 
@@ -172,12 +174,19 @@ def encode_decode(
     bounded memory of pieces; nothing is shuffled.
 
     Null text is empty and gives no ids. Repeated rows give repeated results; an empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Columns other than those named in ``carry`` are not read.
 
-    Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded.
+    Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded, carried (a
+    struct of ``carry``).
     """
-    rows = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(
+        column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"),
+        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
+    )
+    schema = T.StructType([
+        rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),
+        T.StructField("decoded", T.StringType()), rows.schema["carried"],
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)
@@ -187,8 +196,8 @@ def encode_decode(
                 ids = [own.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
+                     pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string()), part.column(2)],
+                    schema.names,
                 )
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids binary, decoded string")
+    return rows.mapInArrow(run, schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
@@ -55,6 +57,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(spark, docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_embeddings
+
+    return near_embeddings(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -88,12 +96,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op2_quality, op3_jaccard_join, op4_bpe, op5_interleaved_shards, op6_mix_sources, op8_licenses, op9_line_dedup, op10_personal_data,
+    op1_exact_dedup, op2_quality, op3_jaccard_join, op4_bpe, op5_interleaved_shards, op6_mix_sources, op7_near_embeddings, op8_licenses, op9_line_dedup, op10_personal_data,
 )}
 
 
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

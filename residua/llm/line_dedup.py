@@ -81,6 +81,7 @@ def line_dedup(
     min_chars: int = 10,
     batches: int = 4,
     fanout: int = 2,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Drop each line that a document with a smaller identifier holds already.
 
@@ -94,9 +95,9 @@ def line_dedup(
 
     Null text is one empty line. A null identifier counts as the largest. Rows with the same
     identifier are one document: what its rows share, all of them keep. An empty table gives
-    no rows. Other columns are not read.
+    no rows. Columns other than those named in ``carry`` are not read.
 
-    Returns doc_id, text (what is left), n_lines, n_dropped.
+    Returns doc_id, text (what is left), n_lines, n_dropped, carried (a struct of ``carry``).
     """
     scratch = Scratch(spark, "line-dedup")
     text = F.coalesce(column(text_col), F.lit(""))
@@ -104,6 +105,7 @@ def line_dedup(
         column(id_col).alias("doc_id"),
         F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)).alias("sid"),
         text.alias("text"), F.xxhash64(text).alias("tk"),
+        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
     )
     key = ascii_lower(F.btrim(F.col("line"), F.lit(SPACE)))
     lines = scratch.keep(
@@ -135,7 +137,7 @@ def line_dedup(
     scratch.drop(lines)
 
     docs = base.withColumn("lines", F.split("text", "\n"))
-    docs = docs.select("doc_id", "sid", "tk", "lines").join(gone, ["sid", "tk"], "left")
+    docs = docs.select("doc_id", "sid", "tk", "lines", "carried").join(gone, ["sid", "tk"], "left")
     # what is left: the stretches between dropped lines, each copied once
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("gone", i) + 1)
     end = lambda i: F.when(i == F.size("gone"), F.size("lines")).otherwise(
@@ -149,5 +151,5 @@ def line_dedup(
         "doc_id",
         F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left), "\n").alias("text"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), "carried",
     )

@@ -143,3 +143,42 @@ def mix_sources(
         F.coalesce("taken", F.lit(0)).alias("taken"),
         F.coalesce("ranges", none).alias("ranges"),
     )
+
+
+def mixed_documents(
+    spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", **options: int,
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per document and pass that takes
+    words of it. A pass that takes all words keeps the text as it is; one that takes some has
+    these words, joined by blanks. Documents the mix takes nothing of go."""
+    plan = mix_sources(spark, docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    passes = plan.filter("taken > 0").select(
+        "doc_id", "tk", "source", "size", "ranges",
+        F.explode(F.expr("sequence(1L, array_max(transform(ranges, r -> r.times)))")).alias("pass"),
+    ).withColumn("ranges", F.expr("filter(ranges, r -> r.times >= pass)"))
+    same = Window.partitionBy("doc_id", "tk", "source", "pass").orderBy("size", "ranges")
+    passes = passes.withColumn("nth", F.row_number().over(same))
+    text = F.coalesce(column(text_col), F.lit(""))
+    keyed = docs.select(
+        F.struct(*(column(c) for c in docs.columns)).alias("row"), column(id_col).alias("k_id"),
+        column(source_col).alias("k_source"), F.xxhash64(text).alias("k_tk"),
+    )
+    alike = Window.partitionBy("k_id", "k_tk", "k_source").orderBy(F.lit(0))
+    keyed = keyed.withColumn("k_nth", F.row_number().over(alike))
+    rows = keyed.join(
+        passes,
+        F.col("k_id").eqNullSafe(F.col("doc_id")) & (F.col("k_tk") == F.col("tk"))
+        & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_nth") == F.col("nth")),
+    )
+    text = F.col("row")[text_col]
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    some = rows.withColumn("words", F.when(F.expr("ranges[0].to - ranges[0].from < size"), words))
+    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(
+        "words", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    # neighbouring blocks of one document are neighbouring ranges; together they may be all of it
+    full = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.col("size")
+    new = F.when(full, text).otherwise(cut)
+    return some.withColumn("new", new).select(
+        *((F.col("new") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns)
+    )
