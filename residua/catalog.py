@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ssb
+from .plans import relational, ssb
 
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (relational,)
 
 
 def queries() -> dict[str, Query]:
-    return {name: q.run for name, q in ssb.QUERIES.items()}
+    out = {name: q.run for name, q in ssb.QUERIES.items()}
+    for part in _PARTS:
+        out |= part.QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.duck() for name, q in ssb.QUERIES.items()}
+    out = {name: q.duck() for name, q in ssb.QUERIES.items()}
+    for part in _PARTS:
+        out |= part.SQL
+    return out
