@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational, ssb
+from .plans import codec, columns, relational, ssb
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (relational,)
+_PARTS = (relational, codec, columns)
 
 
 def queries() -> dict[str, Query]:
