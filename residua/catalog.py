@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import codec, columns, relational, ssb
+from .workers import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 _PARTS = (relational, codec, columns)
@@ -16,7 +17,7 @@ def queries() -> dict[str, Query]:
     out = {name: q.run for name, q in ssb.QUERIES.items()}
     for part in _PARTS:
         out |= part.QUERIES
-    return out
+    return {name: shipped(query) for name, query in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:
