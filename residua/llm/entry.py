@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
+from ..workers import shipped
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
@@ -101,7 +103,7 @@ QUERIES = {f.__name__: f for f in (
 
 
 def queries():
-    return QUERIES | {"pipeline": corpus_pipeline.run}
+    return {name: shipped(query) for name, query in (QUERIES | {"pipeline": corpus_pipeline.run}).items()}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -89,7 +89,7 @@ def rate_labellers(counts: dict[int, int], rounds: int = 100, odds: float = 100.
     """EM over vote patterns: the probability of good quality per pattern, and each labeller's
     rates of being right on good and on bad texts when it speaks."""
     codes = sorted(counts)
-    v = np.array([unpack(c) for c in codes]).reshape(len(codes), len(LABELLERS))
+    v = np.array([unpack(c) for c in codes], dtype=np.int64).reshape(len(codes), len(LABELLERS))
     n = np.array([counts[c] for c in codes], dtype=float)
     # at first, one labeller that calls a text bad outweighs several that call it good
     post = np.where((v == BAD).any(axis=1), 0.2, 0.9) if len(codes) else np.zeros(0)
