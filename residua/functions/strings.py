@@ -90,7 +90,8 @@ def decode_shift(code: Column, length: Column, config: StringConfig) -> Column:
     at = lambda i: F.call_function("shiftrightunsigned", code, (F.lit(config.length) - i) * config.bits)
     byte = lambda i: F.lpad(F.hex(at(i).bitwiseAND(mask) + config.low), 2, "0")
     hexed = F.array_join(F.transform(F.sequence(F.lit(1), length), byte), "")
-    return F.concat(F.lit(config.prefix), F.when(length > 0, F.decode(F.unhex(hexed), "UTF-8")).otherwise(""))
+    text = F.concat(F.lit(config.prefix), F.when(length > 0, F.decode(F.unhex(hexed), "UTF-8")).otherwise(""))
+    return F.when(code.isNotNull() & length.isNotNull(), text)
 
 
 def encode_wide(config: StringConfig):

@@ -27,7 +27,7 @@ STRETCH = 65536
 
 @dataclass(frozen=True)
 class Config:
-    """How to encode. ``strategy`` is FIXED, VARIANCE, COST_OPTIMAL or GREEDY; ``model`` forces
+    """How to encode. ``strategy`` is FIXED, VARIANCE, VARIANCE_COST, COST_OPTIMAL or GREEDY; ``model`` forces
     one model instead of choosing by size; ``degree`` is the highest polynomial to try."""
 
     strategy: str = "COST_OPTIMAL"
@@ -64,6 +64,8 @@ class Config:
         """Partitions of one stretch. Where a strategy finds none, fixed ones serve."""
         if self.strategy == "VARIANCE":
             found = M.variance_sizes(values, self.size, least=self.least)
+        elif self.strategy == "VARIANCE_COST":
+            found = M.variance_cost(values, self.size, self.least)
         elif self.strategy == "COST_OPTIMAL":
             found = M.cost_optimal(values, self.least, self.most, self.threshold, self.benefit, self.rounds)
         elif self.strategy == "GREEDY":
@@ -181,6 +183,19 @@ def problems(blocks: DataFrame) -> DataFrame:
         (F.col("start") != F.col("expected")) | (F.col("start") >= F.col("end"))).drop("expected")
 
 
+def block_rules(blocks: DataFrame) -> DataFrame:
+    """One row: how many blocks break the rules, where the first begins and the last ends."""
+    before = F.lag("end", 1, 0).over(Window.orderBy("start"))
+    wrong = (F.col("start") != F.col("expected")) | (F.col("start") >= F.col("end"))
+    return blocks.withColumn("expected", before).agg(
+        F.count(F.when(wrong, 1)).alias("n_problems"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+
+
+def segment_sizes(blocks: DataFrame) -> DataFrame:
+    """How many blocks have how many rows."""
+    return blocks.groupBy((F.col("end") - F.col("start")).alias("n_rows")).agg(F.count(F.lit(1)).alias("n_blocks"))
+
+
 def verify(df: DataFrame, blocks: DataFrame, pos: str, value: str) -> DataFrame:
     """How many positions differ after decoding, and how many there are."""
     from .relational import mismatches

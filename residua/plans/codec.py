@@ -201,7 +201,7 @@ def _roundtrip(name: str, config: C.Config) -> None:
 
 for _name, _config in {
     "fixed": C.Config.fixed(), "cost_optimal": C.Config.cost_optimal(), "variance": C.Config.variance_adaptive(),
-    "high_compression": C.Config.high_compression(), "greedy": C.Config(strategy="GREEDY"),
+    "high_compression": C.Config.high_compression(), "greedy": C.Config(strategy="GREEDY"), "variance_cost": C.Config(strategy="VARIANCE_COST"),
     "linear": C.Config(strategy="FIXED", model="LINEAR"), "poly2": C.Config(strategy="FIXED", model="POLY2"),
     "poly3": C.Config(strategy="FIXED", model="POLY3"), "frame": C.Config(strategy="FIXED", model="FOR"),
     "direct": C.Config(strategy="FIXED", model="DIRECT"),
@@ -225,8 +225,7 @@ def codec_verify(spark, sf_dir):
 @query("SELECT 0 AS n_problems, 0 AS first_start, (SELECT max(o_orderkey) + 1 FROM orders) AS last_end")
 def codec_block_rules(spark, sf_dir):
     blocks = C.encode(cents(spark, sf_dir), "pos", "value")
-    bad = C.problems(blocks).agg(F.count(F.lit(1)).alias("n_problems"))
-    return bad.crossJoin(blocks.agg(F.min("start").alias("first_start"), F.max("end").alias("last_end")))
+    return C.block_rules(blocks)
 
 
 @query("SELECT o_orderkey AS pos, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders WHERE o_orderkey // 512 IN (1, 4)")
@@ -246,6 +245,12 @@ def codec_models_chosen(spark, sf_dir):
     return blocks.groupBy("model").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.col("end") - F.col("start")).alias("n_rows"))
 
 
+@query("SELECT n AS n_rows, count(*) AS n_blocks FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey // 2048) WHERE n = 2048 GROUP BY n")
+def codec_segment_sizes(spark, sf_dir):
+    blocks = C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(2048))
+    return C.segment_sizes(blocks).filter("n_rows = 2048")
+
+
 # --- access by position
 
 _FETCH = f"SELECT ordinal, a.pos, value FROM ({ASKED}) a LEFT JOIN ({CENTS}) c ON a.pos = c.pos"

@@ -77,6 +77,17 @@ def string_codec_roundtrip(spark, sf_dir):
     return S.decompress(*S.compress(_names(spark, sf_dir), "pos", "value"))
 
 
+@query(f"SELECT event_id AS ordinal, event_id * 7919 % 3000 AS pos, c_name AS value FROM events LEFT JOIN customer ON c_custkey = event_id * 7919 % 3000")
+def string_access(spark, sf_dir):
+    from ..operators.access import fetch_encoded
+
+    codes, lengths, config = S.compress(_names(spark, sf_dir), "pos", "value")
+    asked = ssb.table(spark, sf_dir, "events").selectExpr("event_id as ordinal", "event_id * 7919 % 3000 as pos")
+    hit = fetch_encoded(codes, asked).withColumnRenamed("value", "code")
+    size = fetch_encoded(lengths, asked).select("ordinal", F.col("value").cast("int").alias("n"))
+    return hit.join(size, "ordinal").select("ordinal", "pos", S.decode_shift(F.col("code"), F.col("n"), config).alias("value"))
+
+
 @query("SELECT n_nationkey AS pos, substring(n_name, 1, 8) AS value FROM nation")
 def string_ascii_roundtrip(spark, sf_dir):
     rows = ssb.table(spark, sf_dir, "nation")
