@@ -213,7 +213,7 @@ def fit_quality(
     # the first rows by hash: all below a bound that lets about as many through as are wanted
     part = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)))
     bound = 1_000_000 if total <= sample_rows else int(1_000_000 * 0.9 * sample_rows / total) + 1
-    sample = part.filter(F.col("h") < bound).limit(sample_rows * 2).select("text").toPandas()["text"].tolist() if total else []
+    sample = part.filter(F.col("h") < bound).limit(sample_rows).select("text").toPandas()["text"].tolist() if total else []
     target = np.array([post.get(votes(t), 0.0) for t in sample])
     return train_scorer(sample, target)
 
