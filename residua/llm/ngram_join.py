@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, column
 from .graph import components
 from .hashing import U, mix, shingle_sets, slices
 
-DOC, TOKEN, MEMBER, SAME = 0, 1, 2, 3
+DOC, TOKEN, MEMBER, SAME, STAR = range(5)
 ROWS = "kind int, key long, a long, b long"
 
 
@@ -41,18 +41,13 @@ class Bands:
         return 2 * largest * (self.den - self.num) // (self.den + self.num)
 
 
-#: A document's row holds its set size in the low bits, then what ``signatures`` lets it leave
-#: out: for its even instance, then for its odd one.
-SIZE_BITS, LEAVE_BITS = 38, 12
-
-
 def spare(k: int) -> int:
     """Partitions beyond the k + 1 that make sure one agrees."""
     return 2 + k // 24 if k else 0
 
 
-def signatures(features: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
-    """PartEnum signatures of a set of hashed features, and how many it may leave out.
+def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
+    """PartEnum signatures of a set of hashed features.
 
     For each of the set's two instances the feature domain is divided into n = k + 1 + spare
     partitions by hash, where similar sets differ in at most k features. They then agree on
@@ -60,12 +55,9 @@ def signatures(features: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
     suffice: each signature is the set's projection onto one. An empty projection is a
     signature only if k or fewer are not empty; two similar sets that agree on empty
     partitions alone both have so few.
-
-    Of m > k projections that are not empty, m - k at least agree with a similar set, so both
-    sets may leave out their m - k - 1 most frequent ones and still have one in common.
     """
     band = bands.of(len(features))
-    out, leave = [], 0
+    out = []
     for instance in {band, max(band - 1, 0)}:
         k = bands.differing(instance)
         n = k + 1 + spare(k)
@@ -78,12 +70,9 @@ def signatures(features: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
         if len(at) <= k:
             empty = np.setdiff1d(np.arange(n), at)
             at, sums = np.append(at, empty), np.append(sums, np.zeros(len(empty), dtype=U))
-        else:
-            free = min(len(at) - k - 1, (1 << LEAVE_BITS) - 1)
-            leave |= free << SIZE_BITS + LEAVE_BITS * (instance % 2)
         token = mix(sums ^ mix(at.astype(U) + U(5000)))
         out.append((token >> U(8)) | (U(min(instance, 126)) << U(56)))
-    return np.concatenate(out), leave
+    return np.concatenate(out)
 
 
 def _batch(kind: int, key, a, b) -> pa.RecordBatch:
@@ -113,8 +102,7 @@ def _emit(width: int, num: int, den: int):
                         same.append((seen[digest], ids[i]))
                         continue
                     seen[digest] = ids[i]
-                    t, leave = signatures(s, bands)
-                    sizes[i] |= leave
+                    t = signatures(s, bands)
                     tokens.append(t)
                     owners.append(np.full(len(t), ids[i], dtype=np.int64))
             yield _batch(DOC, mix(ids.astype(U)), ids, sizes)
@@ -164,7 +152,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.repeat(centers, np.diff(np.append(starts, len(key))))
         at = ~first & (spread != a)
         if at.any():
-            yield _batch(MEMBER, key[at], spread[at], a[at])
+            yield _batch(STAR, key[at], spread[at], a[at])
         last, center = key[-1], spread[-1]
 
 
@@ -178,69 +166,154 @@ def _sizes(width: int):
     return run
 
 
-def _compare(width: int, num: int, den: int):
-    """Rows sorted by center and salt, the center's text first: is each member similar?"""
-
+def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all pairwise intersections, as products of 0/1 matrices over stretches of the
+    elements that two or more sets hold."""
+    n = len(sets)
+    out = np.zeros((n, n), dtype=np.float32)
+    elements, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(elements, kind="stable")
+    elements, row = elements[order], row[order]
+    first = np.append(True, elements[1:] != elements[:-1])
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    row, column = row[shared], column[shared]
+    if len(column):
+        column = np.cumsum(np.append(False, column[1:] != column[:-1]))
+        width = max(64, min(width, (1 << 24) // n))
+        edges = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width))
+        for k, (a, z) in enumerate(zip(edges, edges[1:])):
+            held = np.zeros((n, width), dtype=np.float32)
+            held[row[a:z], column[a:z] - k * width] = 1
+            out += held @ held.T
+    return out.astype(np.int64)
+
+
+def sketch(features: np.ndarray, k: int) -> bytes:
+    """A byte for each of 4k to 8k partitions of the feature domain: the exclusive or of a byte
+    of each element in it. An element that only one of two sets holds changes one byte at most,
+    so sets whose sketches differ in more bytes than the sets may differ in elements are not
+    similar. The two halves of a sketch, combined, are the sketch of half as many bytes."""
+    size = 1 << max(3, (4 * k).bit_length())
+    h = mix(features ^ U(31))
+    out = np.zeros(size, dtype=np.uint8)
+    np.bitwise_xor.at(out, (h & U(size - 1)).astype(np.int64), (h >> U(56)).astype(np.uint8))
+    return out.tobytes()
+
+
+def _sketches(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, [np.zeros(0, dtype=U)]
         for batch in batches:
-            centers, salts, members = (batch.column(i).to_pylist() for i in range(3))
-            texts = [t.encode() for t in batch.column(3).to_pylist()]
-            a, b, hit = [], [], []
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            n, out = [], []
             for at, end in slices(texts):
-                for i, s in enumerate(shingle_sets(texts[at:end], width), at):
-                    key = centers[i], salts[i]
-                    if members[i] is None:
-                        # rows that share an identifier are one document with several sets
-                        own = own + [s] if held == key else [s]
-                        held = key
-                        continue
-                    for o in own if held == key else []:
-                        both = len(np.intersect1d(o, s, assume_unique=True))
-                        if den * both >= num * (len(o) + len(s) - both):
-                            a.append(centers[i]), b.append(members[i]), hit.append(True)
-                            break
+                for s in shingle_sets(texts[at:end], width):
+                    n.append(len(s))
+                    out.append(sketch(s, 2 * len(s) * (den - num) // (den + num)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]
-            )
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["id", "n", "sketch"])
 
     return run
 
 
-def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, rules: tuple, per_task: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. A center with very many members is dealt out
-    in parts of about ``per_task``, each with its own copy of the center's text."""
-    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "parts", F.expr(f"n div {per_task} + 1")
-    ).select("a", "parts")
-    members = pairs.join(parts, "a").withColumn("salt", F.expr("pmod(hash(b), parts)"))
-    members = members.join(texts, members["b"] == texts["id"]).select("a", "salt", "b", "text")
-    heads = parts.withColumn("salt", F.explode(F.expr("sequence(0, cast(parts as int) - 1)")))
-    heads = heads.join(texts, heads["a"] == texts["id"]).select(
-        "a", F.col("salt").cast("long").alias("salt"), F.lit(None).cast("long").alias("b"), "text"
-    )
-    rows = heads.unionByName(members.withColumn("salt", F.col("salt").cast("long")))
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_compare(*rules), "a long, b long")
+def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of those joined with each of n by the pairs."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, i, label[j])
+        np.minimum.at(label, j, label[i])
+        label = label[label]
+        if (label == before).all():
+            return label
 
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: pairs within a key that lie in different components."""
-    last, held = None, ([], [])
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, list[list]]]:
+    """Rows with the same first values, which follow one another."""
+    held, rows = None, []
     for batch in batches:
-        key, doc, comp = (batch.column(i).to_numpy() for i in range(3))
+        values = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
+        for row in map(list, zip(*values)):
+            if row[:columns] != held:
+                if len(rows) > 1:
+                    yield held, rows
+                held, rows = row[:columns], []
+            rows.append(row[columns:])
+    if len(rows) > 1:
+        yield held, rows
+
+
+def _part(num: int, den: int):
+    """Part each group into those that their sketches do not rule out to be linked."""
+
+    def parts(rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        size = min(len(r[2]) for r in rows)
+        table = np.zeros((len(rows), size), dtype=np.uint8)
+        for i, r in enumerate(rows):
+            table[i] = np.bitwise_xor.reduce(np.frombuffer(r[2], dtype=np.uint8).reshape(-1, size), axis=0)
         a, b = [], []
-        for k, d, c in zip(key.tolist(), doc.tolist(), comp.tolist()):
-            if k != last:
-                last, held = k, ([], [])
-            for d2, c2 in zip(*held):
-                if c2 != c:
-                    a.append(d2), b.append(d)
-            held[0].append(d), held[1].append(c)
-            if len(a) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        for i in range(len(rows) - 1):
+            differ = (table[i + 1:] != table[i]).sum(axis=1)
+            near = np.flatnonzero((den + num) * differ <= (den - num) * (n[i] + n[i + 1:]))
+            a.append(np.full(len(near), i)), b.append(near + i + 1)
+        label = _joined(len(rows), np.concatenate(a), np.concatenate(b))
+        kept = np.bincount(label, minlength=len(rows))[label] > 1
+        return ids[label[kept]], ids[kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches, 3):
+            part, b = parts(rows)
+            if len(b):
+                cols = [np.full(len(b), k, dtype=np.int64) for k in key] + [part, b]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "i", "j", "part", "b"])
+
+    return run
+
+
+def _compare(width: int, num: int, den: int):
+    """Rows sorted by group: all members of a group against each other, on their whole sets.
+    Gives each member that has similar ones a link to the smallest it is joined with."""
+
+    def links(rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        ids, texts = np.array([r[0] for r in rows]), [r[1].encode() for r in rows]
+        sets: list[np.ndarray] = []
+        for at, end in slices(texts):
+            sets += shingle_sets(texts[at:end], width)
+        sizes = np.array([len(s) for s in sets])
+        both = intersections(sets)
+        hit = den * both >= num * (sizes[:, None] + sizes - both)
+        label = _joined(len(rows), *np.nonzero(np.triu(hit, 1)))
+        moved = label != np.arange(len(rows))
+        return ids[label[moved]], ids[moved]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, 4):
+            a, b = links(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, rules: tuple, block: int) -> DataFrame:
+    """Links among the documents of each center. A center with very many of them is dealt out
+    by pairs of blocks of about ``block`` documents, each pair of blocks a task of its own.
+    Sketches, a fraction of the texts, part the groups first; texts follow for what is left."""
+    groups = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
+    sizes = groups.groupBy("a").agg(F.expr(f"(count(1) - 1) div {block} + 1").alias("blocks"))
+    rows = groups.join(sizes, "a").withColumn("own", F.expr("pmod(xxhash64(b), blocks)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "b"
+    )
+    drawn = scratch.keep(texts.mapInArrow(_sketches(*rules), "id long, n long, sketch binary"), "sketches")
+    rows = rows.join(drawn, rows["b"] == drawn["id"]).select("a", "i", "j", "b", "n", "sketch")
+    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "b")
+    left = rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, b long")
+    left = scratch.keep(left, "left").distinct()
+    key = ["a", "i", "j", "part"]
+    left = left.join(texts, left["b"] == texts["id"]).select(*key, "b", "text")
+    left = left.repartition(*key).sortWithinPartitions(*key, "b")
+    return left.mapInArrow(_compare(*rules), "a long, b long")
 
 
 def jaccard_components(
@@ -250,7 +323,7 @@ def jaccard_components(
     similarity: tuple[int, int] = (80, 100),
     id_col: str = "doc_id",
     text_col: str = "text",
-    members_per_task: int = 1000,
+    block: int = 512,
 ) -> DataFrame:
     """Exact components of the graph that links documents with similar shingle sets.
 
@@ -260,12 +333,12 @@ def jaccard_components(
 
     Every document sends its PartEnum signatures (see ``signatures``) into one shuffle; sets and
     signatures that repeat within a batch are combined before it, so a signature of a third
-    of all documents costs one row per batch. Documents with a common signature are compared
-    with the smallest of them, on their full sets, and linked ones merge into components.
-    A signature whose documents are all in one component needs nothing more. Of the others,
-    each document may leave out as many of its most frequent signatures as its instance has
-    spare partitions, since similar sets agree on one more than that; documents in different
-    components that then still share a signature are compared too. No similar pair is missed.
+    of all documents costs one row per batch. The smallest document of a signature is its
+    center. Two similar documents share a signature, and so a center; all documents of a
+    center are compared with each other, within one task or, if there are very many, one task
+    per pair of blocks: by sketches that rule pairs out for certain, then by their whole sets.
+    Pairs are never listed: a task gives each document a link to the smallest that its links
+    join it with. No similar pair is missed.
 
     Null text is empty; empty sets link with nothing. Rows with the same identifier are one
     document, linked wherever one of its rows is. Rows without identifier link with nothing
@@ -279,46 +352,18 @@ def jaccard_components(
     named = texts.filter("id is not null")
     rows = named.mapInArrow(_emit(*rules), ROWS).repartition("key").sortWithinPartitions("key", "kind", "a")
     rows = scratch.keep(rows.mapInArrow(_scan, ROWS), "rows")
-    sizes = rows.filter(F.col("kind") == DOC).select(
-        F.col("a").alias("doc_id"), F.col("b").bitwiseAND((1 << SIZE_BITS) - 1).alias("n_shingles"),
-        F.shiftright("b", SIZE_BITS).alias("leave"),
-    )
+    sizes = rows.filter(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     same = rows.filter(F.col("kind") == SAME).select("a", "b")
-    shared = rows.filter(F.col("kind") == MEMBER).select("key", "a", "b")
-    pairs = scratch.keep(shared.select("a", "b").distinct(), "pairs")
+    local = rows.filter(F.col("kind") == MEMBER).select("key", "a", "b")
+    stars = rows.filter(F.col("kind") == STAR).select("key", F.col("a").alias("center"), F.col("b").alias("a"))
+    # what met its smallest holder within a batch meets the smallest of all
+    pairs = local.join(stars, ["key", "a"], "left").select(F.coalesce("center", "a").alias("a"), "b")
+    pairs = pairs.unionByName(stars.select(F.col("center").alias("a"), F.col("a").alias("b")))
+    pairs = scratch.keep(pairs.filter("a <> b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     needed = scratch.keep(named.join(ids, "id"), "texts")
-    links = scratch.keep(_verified(scratch, needed, pairs, rules, members_per_task).unionByName(same), "verified")
+    links = _verified(scratch, needed, pairs, rules, block).unionByName(same)
     parts = components(scratch, links)
-
-    # signatures whose documents are still apart
-    own = lambda name: F.coalesce(F.col(f"{name}.component"), F.col(f"s.{name[-1]}"))
-    placed = shared.alias("s").join(parts.alias("pa"), F.col("s.a") == F.col("pa.v"), "left").join(
-        parts.alias("pb"), F.col("s.b") == F.col("pb.v"), "left"
-    ).select("s.key", "s.a", "s.b", own("pa").alias("ca"), own("pb").alias("cb"))
-    placed = placed.select("key", F.explode(F.array(
-        F.struct(F.col("a").alias("doc"), F.col("ca").alias("comp")),
-        F.struct(F.col("b").alias("doc"), F.col("cb").alias("comp")),
-    )).alias("x")).select("key", "x.*").distinct()
-    open_keys = placed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    )
-    placed = placed.join(open_keys, "key")
-    instance = F.shiftrightunsigned("key", 56)
-    leave = sizes.groupBy(F.col("doc_id").alias("doc")).agg(F.min("leave").alias("leave"))
-    placed = placed.join(leave, "doc").withColumn(
-        "most", F.expr(f"shiftright(leave, if(key >> 56 & 1 = 0, 0, {LEAVE_BITS})) & {(1 << LEAVE_BITS) - 1}")
-    )
-    hottest = Window.partitionBy("doc", instance).orderBy(F.desc("m"), "key")
-    placed = placed.withColumn("nth", F.row_number().over(hottest)).filter("nth > most")
-    placed = placed.filter("lo <> hi").select("key", "doc", "comp")
-    crossing = placed.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_cross, "a long, b long")
-    more = crossing.distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.keep(more, "more-pairs")
-    if not more.isEmpty():
-        found = scratch.keep(_verified(scratch, needed, more, rules, members_per_task), "found")
-        if not found.isEmpty():
-            parts = components(scratch, links.unionByName(found))
     out = sizes.join(parts, sizes["doc_id"] == parts["v"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
