@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, column
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without space set aside for each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -71,18 +76,19 @@ def exact_dedup(
         F.count(F.lit(1)).alias("group_size"),
     )
     checkpoint = scratch.path("stream")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         state.writeStream.format("noop").outputMode("update").option(
             "checkpointLocation", checkpoint
         ).trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     held = spark.read.format("statestore").load(checkpoint).select("key.*", "value.*").toDF(
         "digest", "holder", "group_size"
     )
