@@ -64,7 +64,7 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
-CUES = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|free software|CC0"
+CUES = r"(?i)licen[cs]|subject to the terms|copyright|permission|redistribut|public domain|free software|CC0"
 WORDS = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
 WRAP = 6
 OUT = "license string, template int, start int, end int, reduction double, n_diff int, differences string"
