@@ -14,6 +14,7 @@ from .graph import components
 from .hashing import U, mix, shingle_sets, slices
 
 DOC, TOKEN, MEMBER, SAME, STAR = range(5)
+BROADCAST = 2_000_000
 ROWS = "kind int, key long, a long, b long"
 
 
@@ -295,6 +296,13 @@ def _compare(width: int, num: int, den: int):
     return run
 
 
+def _only(scratch: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some identifiers. Up to BROADCAST of them are counted first and sent to
+    every task, 8 bytes each; more than that are joined by a shuffle of the texts."""
+    ids = scratch.keep(ids, "ids")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
+
+
 def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, rules: tuple, block: int) -> DataFrame:
     """Links among the documents of each center. A center with very many of them is dealt out
     by pairs of blocks of about ``block`` documents, each pair of blocks a task of its own.
@@ -311,6 +319,7 @@ def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, rules: tuple
     left = rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, b long")
     left = scratch.keep(left, "left").distinct()
     key = ["a", "i", "j", "part"]
+    texts = _only(scratch, texts, left.select(F.col("b").alias("id")).distinct())
     left = left.join(texts, left["b"] == texts["id"]).select(*key, "b", "text")
     left = left.repartition(*key).sortWithinPartitions(*key, "b")
     return left.mapInArrow(_compare(*rules), "a long, b long")
@@ -361,7 +370,7 @@ def jaccard_components(
     pairs = pairs.unionByName(stars.select(F.col("center").alias("a"), F.col("a").alias("b")))
     pairs = scratch.keep(pairs.filter("a <> b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = scratch.keep(named.join(ids, "id"), "texts")
+    needed = scratch.keep(_only(scratch, named, ids), "texts")
     links = _verified(scratch, needed, pairs, rules, block).unionByName(same)
     parts = components(scratch, links)
     out = sizes.join(parts, sizes["doc_id"] == parts["v"], "left").select(
