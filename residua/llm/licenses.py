@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -66,78 +67,158 @@ TEMPLATES = {
 }
 CUES = r"(?i)licen[cs]|subject to the terms|copyright|permission|redistribut|public domain|free software|CC0"
 WORDS = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
-WRAP = 6
 OUT = "license string, template int, start int, end int, reduction double, n_diff int, differences string"
 
 
-def blocks(text: str, cue: re.Pattern) -> Iterator[tuple[int, int]]:
-    """Lines that hold a cue, together with the lines up to WRAP on if these hold words, so that
-    a wrapped notice is one block. A line alone is a block as well."""
-    starts = [0] + [m.end() for m in re.finditer("\n", text)] + [len(text) + 1]
-    hot = [i for i, (a, z) in enumerate(zip(starts, starts[1:])) if cue.search(text, a, z - 1)]
-    for i in hot:
-        yield starts[i], starts[i + 1] - 1
-        last = min(i + WRAP, len(starts) - 2)
-        if last > i:
-            yield starts[i], starts[last + 1] - 1
+def occurrences(text: str, part: str) -> Iterator[int]:
+    """Where ``part`` stands in ``text``, overlapping places too."""
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+def endings(found: list[str], wording: list[str]) -> list[tuple[int, int]]:
+    """For each number of words of the text, the fewest differences (words changed, added or
+    missing) of a stretch that ends there, and its start."""
+    costs, starts = list(range(len(wording) + 1)), [0] * (len(wording) + 1)
+    out = [(costs[-1], 0)]
+    for i, word in enumerate(found, 1):
+        row, since = [0], [i]
+        for j, meant in enumerate(wording):
+            cost, start = costs[j] + (word != meant), starts[j]
+            if costs[j + 1] + 1 < cost:
+                cost, start = costs[j + 1] + 1, starts[j + 1]
+            if row[j] + 1 < cost:
+                cost, start = row[j] + 1, since[j]
+            row.append(cost)
+            since.append(start)
+        costs, starts = row, since
+        out.append((costs[-1], starts[-1]))
+    return out
+
+
+def align(found: list[str], wording: list[str]) -> tuple[int, int, list[tuple[int, list[str], list[str]]]]:
+    """The aligned part of ``found``, from its first to its last word that agrees, and the
+    differences in order; words of the template before and after that part count as missing."""
+    costs = [list(range(len(wording) + 1))]
+    for i, word in enumerate(found, 1):
+        row, above = [i], costs[-1]
+        for j, meant in enumerate(wording):
+            row.append(min(above[j] + (word != meant), above[j + 1] + 1, row[j] + 1))
+        costs.append(row)
+    i, j, steps = len(found), len(wording), []
+    while i or j:
+        if i and j and costs[i][j] == costs[i - 1][j - 1] + (found[i - 1] != wording[j - 1]):
+            i, j = i - 1, j - 1
+            steps.append((i, i + 1, j, j + 1))
+        elif j and costs[i][j] == costs[i][j - 1] + 1:
+            j -= 1
+            steps.append((i, i, j, j + 1))
+        else:
+            i -= 1
+            steps.append((i, i + 1, j, j))
+    agree = [(i, j) for i, i2, j, j2 in reversed(steps) if i < i2 and j < j2 and found[i] == wording[j]]
+    diffs, at, to = [], agree[0][0], 0
+    for i, j in [*agree, (agree[-1][0] + 1, len(wording))]:
+        if i > at or j > to:
+            diffs.append((max(i - at, j - to), found[at:i], wording[to:j]))
+        at, to = i + 1, j + 1
+    return agree[0][0], agree[-1][0] + 1, diffs
 
 
 class Scanner:
+    """``candidates`` limits nothing: every wording that a piece of occurs is aligned."""
+
     def __init__(self, templates: dict[str, list[str]], candidates: int, tolerance: float) -> None:
         self.rows = [(name, j, t) for name, ts in templates.items() for j, t in enumerate(ts)]
-        self.candidates, self.tolerance = candidates, tolerance
         self.words = [[w.lower() for w in WORDS.findall(t)] for *_, t in self.rows]
+        # one word at least is to agree
+        self.most = [max(0, min(int(tolerance * len(w)), len(w) - 1)) for w in self.words]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.given = [
             zstandard.ZstdCompressor(level=3, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(
                 t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for *_, t in self.rows
         ]
-        self.cue = re.compile(CUES)
+        self.pieces = [self._pieces(w, m) for w, m in zip(self.words, self.most)]
+
+    @staticmethod
+    def _pieces(wording: list[str], most: int) -> list[tuple[int, list[str]]]:
+        """Cut in one piece more than words may differ, so that one piece at least is unchanged."""
+        n = min(most + 1, len(wording))
+        cuts = [k * len(wording) // n for k in range(n + 1)] if n else []
+        return [(a, wording[a:z]) for a, z in zip(cuts, cuts[1:])]
 
     def scan(self, text: str) -> list[tuple]:
-        best: dict[tuple[int, int], tuple] = {}
-        for a, z in blocks(text, self.cue):
-            raw = " ".join(text[a:z].lower().split()).encode()
-            whole = len(self.plain.compress(raw))
-            saved = [(whole - len(c.compress(raw))) / whole for c in self.given]
-            order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))[: self.candidates]
-            for i in order:
-                if saved[i] > 0 and (hit := self._confirm(text, a, z, i, saved[i])):
-                    # the same words once, under the wording closest to them
-                    rivals = [k for k in best if k[0] < hit[3] and hit[2] < k[1]]
-                    if all(_rank(hit) < _rank(best[k]) for k in rivals):
-                        for k in rivals:
-                            del best[k]
-                        best[hit[2], hit[3]] = hit
-        return [best[k] for k in sorted(best)]
-
-    def _confirm(self, text: str, a: int, z: int, i: int, saved: float) -> tuple | None:
-        """Align the template's words with the block's; too many differences are no finding."""
-        spots = [(m[0].lower(), a + m.start(), a + m.end()) for m in WORDS.finditer(text[a:z])]
-        wording = self.words[i]
+        spots = [(m[0].lower(), m.start(), m.end()) for m in WORDS.finditer(text)]
         found = [w for w, _, _ in spots]
-        match = difflib.SequenceMatcher(None, found, wording, autojunk=False)
-        parts = [b for b in match.get_matching_blocks() if b.size]
-        if not parts:
-            return None
-        lo, hi = parts[0].a, parts[-1].a + parts[-1].size
-        # words of the template before and after the aligned part count as missing
-        diffs = []
-        for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, found[lo:hi], wording, autojunk=False).get_opcodes():
-            if op != "equal":
-                diffs.append((max(i2 - i1, j2 - j1), " ".join(found[lo:hi][i1:i2]), " ".join(wording[j1:j2])))
-        n = sum(d[0] for d in diffs)
-        if n > self.tolerance * len(wording):
-            return None
+        line = f" {' '.join(found)} "
+        offsets = list(accumulate((len(w) + 1 for w in found), initial=0))
+        hits: dict[tuple[int, int, int], tuple] = {}
+        for i, wording in enumerate(self.words):
+            for lo, hi in self._places(line, offsets, i):
+                lo, hi = max(lo, 0), min(hi, len(found))
+                for a, z in self._ends(found, lo, hi, i):
+                    b, e, diffs = align(found[a:z], wording)
+                    if (i, a + b, a + e) not in hits:
+                        hits[i, a + b, a + e] = self._hit(text, spots, a + b, a + e, i, diffs)
+        # the same words once, under the wording closest to them
+        kept: list[tuple] = []
+        for hit in sorted(hits.values(), key=_rank):
+            k = bisect_left(kept, hit[2], key=lambda h: h[3] - 1)
+            if k == len(kept) or kept[k][2] >= hit[3]:
+                kept.insert(k, hit)
+        return kept
+
+    def _places(self, line: str, offsets: list[int], i: int) -> list[tuple[int, int]]:
+        """Stretches of words that can hold wording ``i``: around each place of one of its
+        pieces, so far that the whole wording fits with all differences it may have."""
+        wording, most = self.words[i], self.most[i]
+        if not wording:
+            return []
+
+        def places(part: list[str]) -> Iterator[int]:
+            return (bisect_left(offsets, at) for at in occurrences(line, f" {' '.join(part)} "))
+
+        exact = set(places(wording))
+        out = [(k, k + len(wording)) for k in sorted(exact)]
+        if not most:
+            return out
+        starts = {k - first for first, piece in self.pieces[i] for k in places(piece)} - exact
+        wide: list[tuple[int, int]] = []
+        for k in sorted(starts):
+            lo, hi = k - most, k + len(wording) + most
+            if wide and lo <= wide[-1][1]:
+                wide[-1] = wide[-1][0], hi
+            else:
+                wide.append((lo, hi))
+        return out + wide
+
+    def _ends(self, found: list[str], lo: int, hi: int, i: int) -> list[tuple[int, int]]:
+        """Stretches of few enough differences; of neighbouring ends the better ones."""
+        if found[lo:hi] == self.words[i]:
+            return [(lo, hi)]
+        ends = endings(found[lo:hi], self.words[i])
+        costs = [c for c, _ in ends]
+        return [
+            (lo + start, lo + k) for k, (c, start) in enumerate(ends)
+            if c <= self.most[i] and c == min(costs[max(k - 1, 0) : k + 2])
+        ]
+
+    def _hit(self, text: str, spots: list[tuple], lo: int, hi: int, i: int, diffs: list[tuple]) -> tuple:
         name, j, _ = self.rows[i]
-        said = "; ".join(f"{got} <> {meant}" for _, got, meant in diffs)
-        return name, j, spots[lo][1], spots[hi - 1][2], round(saved, 6), n, said
+        start, end = spots[lo][1], spots[hi - 1][2]
+        raw = " ".join(text[start:end].lower().split()).encode()
+        whole = len(self.plain.compress(raw))
+        saved = (whole - len(self.given[i].compress(raw))) / whole
+        said = "; ".join(f"{' '.join(got)} <> {' '.join(meant)}" for _, got, meant in diffs)
+        return name, j, start, end, round(saved, 6), sum(d[0] for d in diffs), said
 
 
 def _rank(hit: tuple) -> tuple:
-    """Fewest differences first, then the longer stretch, then the larger reduction."""
-    return hit[5], hit[2] - hit[3], -hit[4], hit[0], hit[1]
+    """Fewest differences first, then the longer stretch, then the larger reduction, then the first one."""
+    return hit[5], hit[2] - hit[3], -hit[4], hit[0], hit[1], hit[2]
 
 
 def scan_licenses(
@@ -151,11 +232,13 @@ def scan_licenses(
 ) -> DataFrame:
     """License notices in whole texts: which one, where, and how its wording differs.
 
-    Lines with a cue word, alone and with the lines after, are candidate blocks. Each is
-    compressed with every template as a zstandard raw dictionary; the ``candidates`` templates
-    that shrink it most are aligned with it word by word, and at most ``tolerance`` of a
-    template's words may differ. Nothing is shuffled; cue words are sought by Spark before
-    Python sees a text.
+    At most ``tolerance`` of a template's words may differ, added and missing ones included. Of
+    one piece more than that, which a template is cut into, one is unchanged in every notice:
+    around each place of a piece the template is aligned with the words of the text, whatever
+    the lines, so a text's length, its line breaks, and further notices beside hide nothing. A
+    found stretch is compressed with the template as a zstandard raw dictionary; of wordings of
+    equal differences the one that shrinks it most is told. ``candidates`` limits nothing.
+    Nothing is shuffled; cue words are sought by Spark before Python sees a text.
 
     Null or empty texts have no findings. Repeated rows give repeated findings; findings of
     equal rank in one place go to the first name. An empty table gives no rows. Other columns

@@ -374,6 +374,34 @@ def test_other_wordings():
     assert [h[0] for h in scanner.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
 
 
+@pytest.mark.parametrize("name,i", [(n, i) for n, ts in licenses.TEMPLATES.items() for i in range(len(ts))])
+def test_every_template_is_found_within_a_long_line(name, i):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
+    words = [f"word{k * k % 9973}" for k in range(5000)]
+    text = " ".join([*words[:2500], licenses.TEMPLATES[name][i], *words[2500:]])
+    (hit,) = scanner.scan(text)
+    assert hit[:2] == (name, i) and hit[4] > 0 and hit[5] == 0
+
+
+def test_many_templates_in_one_line():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
+    rows = [(n, i, t) for n, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts)]
+    hits = scanner.scan(" and also other words here. ".join(t for *_, t in rows))
+    assert [h[:2] for h in hits] == [r[:2] for r in rows] and all(h[5] == 0 for h in hits)
+
+
+def test_changed_wordings_anywhere():
+    rng = np.random.default_rng(8)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
+    for name, i, n in (("MIT", 2, 6), ("BSD-3-Clause", 0, 2), ("ISC", 0, 3)):
+        for _ in range(10):
+            words = licenses.WORDS.findall(licenses.TEMPLATES[name][i])
+            for k in sorted(rng.choice(np.arange(1, len(words) - 1), n, replace=False))[::-1]:
+                words[k : k + 1] = [[], ["other"], [words[k], "added"]][rng.integers(3)]
+            hits = scanner.scan("filler words " * 400 + " ".join(words) + " more words" * 400)
+            assert len(hits) == 1 and hits[0][:2] == (name, i) and 0 < hits[0][5] <= n
+
+
 # --- 9
 
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (5, 3)])
