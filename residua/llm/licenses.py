@@ -66,10 +66,25 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 CUES = r"(?i)licen[cs]|subject to the terms|copyright|permission|redistribut|public domain|free software|CC0"
-WORDS = re.compile(r"[^\W_]+(?:[.+-][^\W_]+)*")
+# A word that a line ends in at its hyphen goes on behind the marks that start the next line.
+BREAK = r"(?<=-)\r?\n[ \t#*/;>]*"
+WORDS = re.compile(rf"[^\W_]+(?:(?:[.+]|-(?:{BREAK})?)[^\W_]+)*")
 OUT = "license string, template int, start int, end int, reduction double, n_diff int, differences string"
 
 
+def gate(scanner: Scanner) -> str:
+    """What any notice holds, as a pattern for Spark: a cue, between whose words a line may end;
+    of templates that can lose all their cues within the differences allowed, also the pieces."""
+    between = r"[\W_]+"
+    parts = [CUES.replace(" ", between)]
+    for wording, most, pieces in zip(scanner.words, scanner.most, scanner.pieces):
+        if len(re.findall(CUES, " ".join(wording))) <= most:
+            for _, piece in pieces:
+                words = [between.join(r"\Q" + w + r"\E" for w in part.split("-")) for part in piece]
+                parts.append(between.join(words))
+    return "|".join(parts)
+
+
 def occurrences(text: str, part: str) -> Iterator[int]:
     """Where ``part`` stands in ``text``, overlapping places too."""
     at = text.find(part)
@@ -151,7 +166,7 @@ class Scanner:
         return [(a, wording[a:z]) for a, z in zip(cuts, cuts[1:])]
 
     def scan(self, text: str) -> list[tuple]:
-        spots = [(m[0].lower(), m.start(), m.end()) for m in WORDS.finditer(text)]
+        spots = [(re.sub(BREAK, "", m[0].lower()), m.start(), m.end()) for m in WORDS.finditer(text)]
         found = [w for w, _, _ in spots]
         line = f" {' '.join(found)} "
         offsets = list(accumulate((len(w) + 1 for w in found), initial=0))
@@ -238,7 +253,7 @@ def scan_licenses(
     the lines, so a text's length, its line breaks, and further notices beside hide nothing. A
     found stretch is compressed with the template as a zstandard raw dictionary; of wordings of
     equal differences the one that shrinks it most is told. ``candidates`` limits nothing.
-    Nothing is shuffled; cue words are sought by Spark before Python sees a text.
+    Nothing is shuffled; Spark passes only texts that hold a cue (see ``gate``) to Python.
 
     Null or empty texts have no findings. Repeated rows give repeated findings; findings of
     equal rank in one place go to the first name. An empty table gives no rows. Other columns
@@ -247,9 +262,9 @@ def scan_licenses(
     Returns doc_id, license, template, start, end (code points), reduction, n_diff, differences.
     """
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
-    rows = rows.filter(F.col("text").rlike(CUES))
-    id_type = rows.schema["doc_id"].dataType.simpleString()
     chosen = templates or TEMPLATES
+    rows = rows.filter(F.col("text").rlike(gate(Scanner(chosen, candidates, tolerance))))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(chosen, candidates, tolerance)

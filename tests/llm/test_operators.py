@@ -3,6 +3,7 @@
 import hashlib
 import struct
 import sys
+import textwrap
 import zlib
 from fractions import Fraction
 from pathlib import Path
@@ -390,6 +391,19 @@ def test_many_templates_in_one_line():
     assert [h[:2] for h in hits] == [r[:2] for r in rows] and all(h[5] == 0 for h in hits)
 
 
+@pytest.mark.parametrize("columns", [20, 30, 40, 50, 60])
+def test_narrowly_wrapped_templates(spark, columns):
+    rows = [(n, i, t) for n, ts in licenses.TEMPLATES.items() for i, t in enumerate(ts)]
+    texts = ["# " + "\n# ".join(textwrap.wrap(t, columns)) for *_, t in rows]
+    texts += [t.replace(" ", "\n") for *_, t in rows]
+    # without its only cue, within the differences allowed
+    texts.append(licenses.TEMPLATES["Unlicense"][0].replace("public", "open"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hits = sorted((r.doc_id, r.license, r.template, r.n_diff) for r in licenses.scan_licenses(spark, docs).collect())
+    want = [(n, i, 0) for n, i, _ in rows] * 2 + [("Unlicense", 0, 1)]
+    assert hits == [(k, *w) for k, w in enumerate(want)]
+
+
 def test_changed_wordings_anywhere():
     rng = np.random.default_rng(8)
     scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
