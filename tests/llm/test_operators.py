@@ -404,6 +404,15 @@ def test_narrowly_wrapped_templates(spark, columns):
     assert hits == [(k, *w) for k, w in enumerate(want)]
 
 
+def test_a_notice_twice_in_one_line():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
+    for name, i, one, other in (("Apache-2.0", 1, "", ""), ("MIT", 2, "charge", "cost")):
+        text = licenses.TEMPLATES[name][i]
+        for between in (" ", " and once more: "):
+            hits = scanner.scan(text + between + text.replace(one, other))
+            assert [h[:3] for h in hits] == [(name, i, 0), (name, i, len(text + between))]
+
+
 def test_changed_wordings_anywhere():
     rng = np.random.default_rng(8)
     scanner = licenses.Scanner(licenses.TEMPLATES, 4, 0.1)
