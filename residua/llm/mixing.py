@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Sainte-Lague apportionment of token blocks."""
+"""Mixing sources to target weights by Sainte-Lague apportionment of words."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import WORD, Scratch, column, ranked
 
@@ -32,26 +31,33 @@ def capped_targets(sizes: list[int], weights: list[int], total: Fraction, cap: i
 
 
 def sainte_lague(votes: list[Fraction], most: list[int], shards: int, per_shard: int) -> list[list[int]]:
-    """Quotas of each shard: blocks go one by one to the highest votes / (2 got + 1).
+    """Quotas of each shard: seats go one by one to the highest votes / (2 got + 1).
 
     The seats of a shard continue those of the shards before, so all quotas together are the
-    apportionment of the whole as well. No source gets over ``most`` blocks.
+    apportionment of the whole as well. No source gets over ``most`` seats. What a source is
+    sure to get is not dealt seat by seat, so that a seat can be a word.
     """
-    got = [0] * len(votes)
-    heap = [(-v, i) for i, v in enumerate(votes) if v > 0 and most[i] > 0]
-    heapq.heapify(heap)
-    quotas = []
-    for _ in range(shards):
-        quota = [0] * len(votes)
-        for _ in range(per_shard):
+    total = sum(votes)
+    running = sum(v > 0 for v in votes)
+    quotas, before = [], [0] * len(votes)
+    for shard in range(1, shards + 1):
+        seats = shard * per_shard
+        # all quotients of the seats given reach total / (2 seats + running) at least; one seat of slack
+        got = [
+            min(most[i], max(0, int(v * (2 * seats - running) / (2 * total)) - 1)) if v > 0 else 0
+            for i, v in enumerate(votes)
+        ]
+        heap = [(-v / (2 * got[i] + 1), i) for i, v in enumerate(votes) if v > 0 and got[i] < most[i]]
+        heapq.heapify(heap)
+        for _ in range(seats - sum(got)):
             if not heap:
                 break
             _, i = heapq.heappop(heap)
             got[i] += 1
-            quota[i] += 1
             if got[i] < most[i]:
                 heapq.heappush(heap, (-votes[i] / (2 * got[i] + 1), i))
-        quotas.append(quota)
+        quotas.append([n - o for n, o in zip(got, before)])
+        before = got
     return quotas
 
 
@@ -61,8 +67,6 @@ def mix_sources(
     weights: tuple[int, ...] = (5, 2, 1),
     share: Fraction = Fraction(3, 2),
     cap: int = 2,
-    shards: int = 8,
-    blocks_per_shard: int = 4096,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -71,11 +75,12 @@ def mix_sources(
     """Say how many words of each document a mix of sources takes, and which ones.
 
     Sources in order of their names (UTF-8 bytes, which is code point order; null last) have
-    the ``weights`` in turn. The mix has ``share`` of all words in ``shards * blocks_per_shard``
-    equal blocks. Sainte-Lague gives each shard integer quotas of blocks per source. A source's
-    documents, in a seeded order, form one line of words cut into blocks; the q blocks of its
-    quota are every block q div m times, of m, and the q mod m first ones in a seeded order
-    once more. Only one row per source goes to the driver.
+    the ``weights`` in turn. The mix has ``share`` of all words. Sainte-Lague gives each source
+    an integer quota of words, within one of its target whatever the size of the corpus. A
+    source's documents stand in a seeded order. A quota of q times all words of the source and
+    r more takes every document q times, and the first ones, r words together, once more: all
+    of them whole but for the last, of which it takes as many words as are missing. Only one
+    row per source goes to the driver.
 
     Null text has no words; null sources are one source; repeated rows count each. An empty
     table, or one without words, takes nothing. Other columns are not read.
@@ -100,48 +105,23 @@ def mix_sources(
         sizes, [weights[i % len(weights)] for i in range(len(sums))], share * sum(sizes), cap
     )
     goal = int(sum(targets))
-    block = max(1, -(-goal // (shards * blocks_per_shard)))
-    n_blocks = [-(-s // block) for s in sizes]
-    # whole blocks only: the last of a source is shorter
-    per_shard = -(-goal // (block * shards)) if goal else 0
-    quotas = sainte_lague(targets, [cap * n for n in n_blocks], shards, per_shard)
+    (quotas,) = sainte_lague(targets, [cap * n for n in sizes], 1, goal)
     plan = spark.createDataFrame(
-        [(r.source, s, float(t), n, sum(q[i] for q in quotas), [q[i] for q in quotas])
-         for i, (r, s, t, n) in enumerate(zip(sums, sizes, targets, n_blocks))],
-        "p_source string, source_size long, target double, m long, q long, shard_quotas array<long>",
+        [(r.source, s, float(t), *(divmod(q, s) if s else (0, 0))) for r, s, t, q in zip(sums, sizes, targets, quotas)],
+        "p_source string, source_size long, target double, passes long, rest long",
     )
-    chosen = plan.filter("m > 0").select(
-        "p_source", "m", "q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("b")
-    ).withColumn("key", F.xxhash64(F.lit(seed + 1), "p_source", "b"))
-    chosen = ranked(scratch, chosen, ["key", "b"], "r", by="p_source")
-    chosen = chosen.select(
-        F.col("p_source").alias("c_source"), "b",
-        F.expr("q div m + if(r < q % m, 1, 0)").alias("times"),
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
+    # the words of the document that come once more
+    joined = joined.withColumn("more", F.expr("greatest(0L, least(size, rest - start))"))
+    piece = lambda a, z, n: F.struct(a.alias("from"), z.alias("to"), n.alias("times"))
+    pieces = F.array(
+        piece(F.lit(0).cast("long"), F.col("more"), F.col("passes") + 1),
+        piece(F.col("more"), F.col("size"), F.col("passes")),
     )
-    touched = rows.filter("size > 0").select(
-        "doc_id", "source", "tk", "start", "size",
-        F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("d_b"),
-    )
-    taken = touched.join(
-        chosen, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("b") == F.col("d_b"))
-    ).filter("times > 0").withColumns({
-        "from": F.greatest(F.lit(0), F.col("b") * block - F.col("start")),
-        "to": F.least(F.col("size"), (F.col("b") + 1) * block - F.col("start")),
-    })
-    taken = taken.groupBy(F.col("source").alias("t_source"), F.col("start").alias("t_start")).agg(
-        F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"),
-        F.sort_array(F.collect_list(F.struct("from", "to", "times"))).alias("ranges"),
-    )
-    none = F.array().cast(T.ArrayType(taken.schema["ranges"].dataType.elementType))
-    joined = rows.join(
-        taken,
-        F.col("source").eqNullSafe(F.col("t_source")) & (F.col("start") == F.col("t_start"))
-        & (F.col("size") > 0), "left",
-    )
-    return joined.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).select(
+    return joined.select(
         "doc_id", "source", "tk", "size", "source_size", "target",
-        F.coalesce("taken", F.lit(0)).alias("taken"),
-        F.coalesce("ranges", none).alias("ranges"),
+        F.expr("passes * size + more").alias("taken"),
+        F.filter(pieces, lambda x: (x["to"] > x["from"]) & (x["times"] > 0)).alias("ranges"),
     )
 
 

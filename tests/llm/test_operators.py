@@ -276,6 +276,28 @@ def test_sainte_lague_by_hand():
     assert [sum(q[i] for q in halves) for i in range(3)] == whole == [50, 20, 10]
 
 
+def test_small_sources_reach_their_targets(spark):
+    rows = [(i, "word " * 20000, f"big{i % 3}") for i in range(150)] + [(1000 + i, "a few words here now", "small") for i in range(4)]
+    out = mixing.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in {r[2] for r in rows}:
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 <= own[0].target
+
+
+def test_sainte_lague_of_many_seats():
+    votes = [Fraction(v) for v in (5 * 10**9, 10**9, 2000, 10000, 1, 0)]
+    (quotas,) = mixing.sainte_lague(votes, [10**10] * 6, 1, int(sum(votes)))
+    assert quotas == votes
+    for seats in range(60):
+        votes, most = [Fraction(v) for v in (53, 24, 23, 7, 7, 0)], [9, 30, 3, 5, 9, 9]
+        got = [0] * 6
+        for _ in range(seats):
+            free = [i for i in range(6) if got[i] < most[i] and votes[i]]
+            if free:
+                got[max(free, key=lambda i: (votes[i] / (2 * got[i] + 1), -i))] += 1
+        assert mixing.sainte_lague(votes, most, 1, seats) == [got]
+
+
 def test_mixed_documents_have_the_words_taken(spark, odd):
     docs = spark.read.parquet(odd)
     out = mixing.mixed_documents(spark, docs)
