@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, column, ranked
 
+BLANKS = r"[\x20\x09-\x0D]*"
+
 
 def capped_targets(sizes: list[int], weights: list[int], total: Fraction, cap: int) -> list[Fraction]:
     """Share ``total`` by weight; no target over ``cap`` times its size; share the excess again."""
@@ -130,8 +132,9 @@ def mixed_documents(
     source_col: str = "source", **options: int,
 ) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per document and pass that takes
-    words of it. A pass that takes all words keeps the text as it is; one that takes some has
-    these words, joined by blanks. Documents the mix takes nothing of go."""
+    words of it. A pass that takes all words keeps the text as it is; one that takes some, of
+    one document a source at most, has the text up to its last word, white space as it was.
+    Documents the mix takes nothing of go."""
     plan = mix_sources(spark, docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     passes = plan.filter("taken > 0").select(
         "doc_id", "tk", "source", "size", "ranges",
@@ -152,13 +155,13 @@ def mixed_documents(
         & F.col("k_source").eqNullSafe(F.col("source")) & (F.col("k_nth") == F.col("nth")),
     )
     text = F.col("row")[text_col]
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    some = rows.withColumn("words", F.when(F.expr("ranges[0].to - ranges[0].from < size"), words))
+    # each word with the white space before it
+    words = F.regexp_extract_all(text, F.lit(f"{BLANKS}{WORD}"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(
-        "words", (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    # neighbouring blocks of one document are neighbouring ranges; together they may be all of it
+        words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), "")
+    # both parts of a document are all of it
     full = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"]) == F.col("size")
     new = F.when(full, text).otherwise(cut)
-    return some.withColumn("new", new).select(
+    return rows.withColumn("new", new).select(
         *((F.col("new") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns)
     )

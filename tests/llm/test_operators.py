@@ -306,6 +306,22 @@ def test_mixed_documents_have_the_words_taken(spark, odd):
     assert words == sum(r.taken for r in mixing.mix_sources(spark, docs).collect())
 
 
+def test_mixed_documents_are_whole_but_for_one_a_source(spark):
+    # white space of several kinds
+    texts = {i: f"  Title {i}\n\n" + "\tsome  words\n of it\n" * (50 + i % 40) for i in range(600)}
+    rows = [(i, t, "abc"[i % 3]) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(spark, docs).collect()
+    cut = [r for r in out if r.text != texts[r.doc_id]]
+    assert len({r.source for r in cut}) == len(cut)
+    assert all(texts[r.doc_id].startswith(r.text) for r in cut)
+    taken = {r.doc_id: r.taken for r in mixing.mix_sources(spark, docs).collect()}
+    words = dict.fromkeys(texts, 0)
+    for r in out:
+        words[r.doc_id] += len(r.text.split())
+    assert words == taken
+
+
 # --- 7
 
 def vectors():
