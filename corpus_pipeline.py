@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residua.llm.bpe import encode_decode
-from residua.llm.common import Scratch, column
+from residua.llm.common import Scratch, column, ranked
 from residua.llm.line_dedup import line_dedup
 from residua.llm.mixing import mixed_documents
 from residua.llm.ngram_join import jaccard_components
@@ -24,6 +24,21 @@ def _with_text(rows: DataFrame, columns: list[str]) -> DataFrame:
     ))
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """Documents and the column that names each row: the identifier, or where it is null or
+    repeats, a row number in the order of identifier (null last) and text."""
+    unclear = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if unclear.isEmpty():
+        return docs, "doc_id"
+    order = ["_none", "doc_id", "_hash", "_place"]  # the place deals out copies
+    rows = docs.withColumns({
+        "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(F.coalesce("text", F.lit(""))),
+        "_place": F.monotonically_increasing_id(),
+    })
+    rows = ranked(Scratch(spark, "rows"), rows, order, "_row")
+    return rows.drop("_none", "_hash", "_place"), "_row"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained scorer rejects go."""
     scored = score_quality(docs, fit_quality(spark, docs), score="_score")
@@ -31,18 +46,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that a document before holds already go; the document stays with the others."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = line_dedup(spark, docs, carry=carry)
-    return _with_text(rows.select("doc_id", "text", "carried.*"), docs.columns)
+    """Lines that a document before holds already go; the document stays with the others.
+    Rows with the same or no identifier are documents of their own."""
+    rows, key = _numbered(spark, docs)
+    carry = tuple(c for c in docs.columns if c not in (key, "text"))
+    left = line_dedup(spark, rows, id_col=key, carry=carry)
+    left = left.select(F.col("doc_id").alias("_key"), "text", "carried.*")
+    return _with_text(left.withColumnRenamed("_key", key) if key == "doc_id" else left, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (shingles of five words, 0.8 or more), the document
-    with the smallest identifier stays."""
-    found = jaccard_components(spark, docs)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*map(column, docs.columns))
+    with the smallest identifier stays. Rows with the same or no identifier are documents of
+    their own."""
+    rows, key = _numbered(spark, docs)
+    found = jaccard_components(spark, rows, id_col=key)
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(gone, key, "left_anti").select(*map(column, docs.columns))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,29 @@ def test_last_stage_is_lossless(stages):
     assert len(rows) == stages[4].count() and all(r.lossless for r in rows)
 
 
+def test_rows_with_the_same_or_no_identifier(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(40))
+    near = text.replace("word39", "changed")
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [
+        (7, text, "a"), (7, text, "a"), (None, text, "a"), (None, near, "b"), (9, near, "b"),
+        (None, other, "a"), (None, other, "b"), (3, "short", "a"), (3, "short", "a"),
+    ]
+    lines = [(i, f"{t}\nend {n} of the text", s) for n, (i, t, s) in enumerate(rows)]
+    schema = "doc_id long, text string, source string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "near"))
+    spark.createDataFrame(lines, schema).repartition(3).write.parquet(str(tmp_path / "lines"))
+    out = P.near_duplicates(spark, spark.read.parquet(str(tmp_path / "near")), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    assert sorted(pairs(out), key=str) == sorted([(7, text), (None, other), (3, "short")], key=str)
+    out = P.drop_repeated_lines(spark, spark.read.parquet(str(tmp_path / "lines")), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    left = [x for _, t in pairs(out) for x in t.split("\n") if x != "short"]
+    assert len(left) == len(set(left)) == 3 + len(rows)
+    held = {x: i for i, t in pairs(out) for x in t.split("\n")}
+    assert (held[text], held[near], held[other]) == (7, 9, None)
+
+
 def test_stages_on_odd_and_empty_tables(spark, odd, empty):
     for path in (odd, empty):
         docs = spark.read.parquet(path)
