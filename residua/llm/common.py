@@ -17,6 +17,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space as the word rule ``[^\x20\x09-\x0D]+`` sees it.
 SPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes that are sent to a Python worker at once; operators multiply them by a small factor.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Stands for a null identifier: sorts after every other one.
 LAST_ID = 9223372036854775807
 
@@ -36,11 +39,19 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="residua-")
         sc.setCheckpointDir(folder)
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send less at once to Python workers than Spark does where nobody set a number."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 class Scratch:
     """Tables of one run under the shared folder. They go when dropped or when Python ends."""
 
@@ -48,6 +59,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/residua-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -57,7 +69,13 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage, computes the rows once."""
         path = self.path(name)
-        df.write.parquet(path)
+        # the shuffles behind a table are of no use once it is written
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._residua_path = path
         return out

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 
-def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """Smallest identifier reachable, for each one that has a link.
 
     ``links`` has the long columns a and b. Large-star and small-star steps alternate: the
@@ -21,7 +23,7 @@ def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFram
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = scratch.keep(edges.filter("a <> b").distinct(), "links")
-    for i in range(rounds):
+    for i in count():
         middle = edges.select("b").join(edges.select(F.col("a").alias("b")), "b", "left_semi")
         twice = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         if middle.isEmpty() and twice.isEmpty():

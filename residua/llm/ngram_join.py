@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +16,15 @@ from .common import Scratch, column
 from .graph import components
 from .hashing import U, mix, shingle_sets, slices
 
-DOC, TOKEN, MEMBER, SAME, STAR = range(5)
-BROADCAST = 2_000_000
-ROWS = "kind int, key long, a long, b long"
+SETS = "id long, n long, d long, e long"
+#: Signatures held in memory before those that repeat among them are combined.
+HELD = 1 << 19
 
 
 class Bands:
     """Size bands for a similarity of ``num / den``: sets that similar lie in the same band or
-    in neighbouring ones. Instance i of the signature scheme serves the bands i and i + 1."""
+    in neighbouring ones. Instance i of the signature scheme serves pairs within band i and
+    pairs of one set in band i and one in band i + 1."""
 
     def __init__(self, num: int, den: int) -> None:
         self.num, self.den = num, den
@@ -35,82 +39,155 @@ class Bands:
             self._grow(len(self.low))
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
-    def differing(self, instance: int) -> int:
-        """Most elements in which two similar sets of the instance's sizes can differ."""
-        self._grow(instance + 1)
-        largest = self.low[instance + 2] - 1
-        return 2 * largest * (self.den - self.num) // (self.den + self.num)
-
+    def apart(self, a: int, b: int) -> int:
+        """Most elements in which similar sets of these sizes can differ."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
 
-def spare(k: int) -> int:
-    """Partitions beyond the k + 1 that make sure one agrees."""
-    return 2 + k // 24 if k else 0
+    def differing(self, instance: int, n: int | None = None) -> int:
+        """Most elements in which two similar sets that the instance serves can differ, one of
+        ``n`` elements if given."""
+        self._grow(instance + 1)
+        top, above = self.low[instance + 1] - 1, self.low[instance + 2] - 1
+        if n is None:
+            n = top
+        return self.apart(n, top if n > top else min(n * self.den // self.num, above))
+
+
+@cache
+def _subsets(n: int, left_out: int) -> np.ndarray:
+    """All subsets of n without ``left_out`` of them, as rows of 0 and 1."""
+    out = np.ones((math.comb(n, left_out), n), dtype=U)
+    for row, gone in zip(out, combinations(range(n), left_out)):
+        row[list(gone)] = 0
+    return out
+
+
+@cache
+def scheme(k: int, top: int, least: int, k_least: int) -> tuple[int, int, int]:
+    """Partitions n1 and n2 of the two levels and the number k2 left out of each subset, for
+    sets of ``least`` to ``top`` elements that differ in at most k (k_least for the smallest).
+
+    Where no scheme does, the subsets are single partitions of one part.
+
+    n1 is k div (k2 + 1) + 1 and some more, so one part at least differs in k2 elements at
+    most, and in it one subset of n2 - k2 partitions agrees. Taken is what makes the fewest
+    signatures, dearer ones if their projections are small, among the schemes in which few
+    sets must send signatures of empty projections (see ``signatures``)."""
+    if not k:
+        return 1, 1, 0
+    best = (math.inf, 1, k + 1, k)
+    for k2 in range(1, min(k, 4) + 1):
+        need = k // (k2 + 1) + 1
+        for n2 in range(k2 + 2, 2 * k2 + 3):
+            for extra in range(need + 8):
+                n1 = need + extra
+                if all(_rarely(size / n1, n1 - 1 - most // (k2 + 1), n1, n2, k2) for size, most in ((top, k), (least, k_least))):
+                    mass = top * (n2 - k2) / (n1 * n2)
+                    cost = n1 * math.comb(n2, k2) * (1 + 25 * 0.6**mass)
+                    best = min(best, (cost, n1, n2, k2))
+                    break
+    return best[1:]
+
+
+def _rarely(mean: float, spare: int, n1: int, n2: int, k2: int) -> bool:
+    """Do more than ``spare`` of n1 parts of ``mean`` elements occupy k2 of their n2
+    partitions at most in few sets only, as sums of a normal law have it?"""
+    full = 1 - math.exp(-mean / n2)
+    weak = sum(math.comb(n2, i) * full**i * (1 - full) ** (n2 - i) for i in range(k2 + 1))
+    return n1 * weak + 2.5 * math.sqrt(n1 * weak) <= spare + 0.75
 
 
 def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a set of hashed features.
 
-    For each of the set's two instances the feature domain is divided into n = k + 1 + spare
-    partitions by hash, where similar sets differ in at most k features. They then agree on
-    at least spare + 1 partitions, so of the subsets to enumerate the single partitions
-    suffice: each signature is the set's projection onto one. An empty projection is a
-    signature only if k or fewer are not empty; two similar sets that agree on empty
-    partitions alone both have so few.
+    For each of the set's two instances the feature domain is divided by hash into n1 parts,
+    each of them into n2 partitions, and in each part every subset of n2 - k2 partitions is
+    enumerated: a signature is the set's projection onto one subset. Of two similar sets,
+    k div (k2 + 1) parts at most differ in more than k2 elements; in any other part one subset
+    agrees. So they share a signature.
+
+    Projections of no element would be shared by sets that have nothing in common. A part is
+    strong if the set's elements in it occupy more than k2 partitions; none of its
+    projections is empty. With more than k div (k2 + 1) strong parts, a strong one agrees
+    with any similar set, so the set's empty projections are needed only if it has no more.
     """
     band = bands.of(len(features))
     out = []
     for instance in {band, max(band - 1, 0)}:
         k = bands.differing(instance)
-        n = k + 1 + spare(k)
-        part = (mix(features ^ U(instance + 1)) % U(n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sorted_part = part[order]
-        first = np.flatnonzero(np.diff(sorted_part, prepend=-1))
-        sums = np.add.reduceat(mix(features + U(77))[order], first)
-        at = sorted_part[first]
-        if len(at) <= k:
-            empty = np.setdiff1d(np.arange(n), at)
-            at, sums = np.append(at, empty), np.append(sums, np.zeros(len(empty), dtype=U))
-        token = mix(sums ^ mix(at.astype(U) + U(5000)))
-        out.append((token >> U(8)) | (U(min(instance, 126)) << U(56)))
+        top, least = bands.low[instance + 1] - 1, bands.low[instance]
+        n1, n2, k2 = scheme(k, top, least, bands.differing(instance, least))
+        h = mix(features ^ U(instance + 1))
+        cell = ((h >> U(32)) % U(n1) * U(n2) + (h & U(0xFFFFFFFF)) % U(n2)).astype(np.int64)
+        value = mix(features + U(77))
+        # sums of 64 bits that wrap, as two sums of 32 bits
+        low = np.bincount(cell, (value & U(0xFFFFFFFF)).astype(np.float64), n1 * n2).astype(U)
+        high = np.bincount(cell, (value >> U(32)).astype(np.float64), n1 * n2).astype(U)
+        sums = (low + (high << U(32))).reshape(n1, n2)
+        held = (np.bincount(cell, minlength=n1 * n2) > 0).reshape(n1, n2)
+        subsets = _subsets(n2, k2)
+        projections = sums @ subsets.T
+        wanted = (held @ subsets.T) > 0
+        strong = int((held.sum(axis=1) > k2).sum())
+        if strong <= bands.differing(instance, len(features)) // (k2 + 1):
+            wanted[:] = True
+        name = np.arange(projections.size, dtype=U).reshape(projections.shape) + U(instance << 40)
+        out.append(mix(projections ^ mix(name + U(5000)))[wanted])
     return np.concatenate(out)
 
 
-def _batch(kind: int, key, a, b) -> pa.RecordBatch:
-    n = len(key)
-    cols = [np.full(n, kind, dtype=np.int32)] + [np.asarray(x).astype(np.int64) for x in (key, a, b)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "key", "a", "b"])
+def _digests(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers."""
+    return int(s.sum().astype(np.int64)), int(mix(s).sum().astype(np.int64))
+
+
+def _texts(batch: pa.RecordBatch, at: int) -> list[bytes]:
+    return batch.column(at).cast(pa.binary()).to_pylist()
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
+
+
+def _sets(width: int):
+    """Size and digests of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _texts(batch, 1)
+            found = np.zeros((3, len(texts)), dtype=np.int64)
+            for at, end in slices(texts):
+                for i, s in enumerate(shingle_sets(texts[at:end], width), at):
+                    if len(s):
+                        found[:, i] = len(s), *_digests(s)
+            yield _batch("id n d e", batch.column(0), *found)
+
+    return run
 
 
 def _emit(width: int, num: int, den: int):
-    """Rows of a batch of documents: sizes, signatures, and what can be linked on the spot.
-    A signature or set that repeats within the batch leaves it once."""
+    """Signatures with the digest of their set, in the columns key and a. Sets that repeat
+    within a batch are left out; a signature that repeats leaves once, and its other sets as
+    pairs (a, b) of its smallest one and themselves, whose key spreads them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            sizes = np.zeros(len(ids), dtype=np.int64)
-            tokens, owners, seen, same = [], [], {}, []
+            texts, seen = _texts(batch, 0), set()
+            tokens, owners, held = [], [], 0
             for at, end in slices(texts):
-                for i, s in enumerate(shingle_sets(texts[at:end], width), at):
-                    sizes[i] = len(s)
-                    if not len(s):
-                        continue
-                    digest = (len(s), int(s.sum()), int(mix(s).sum()))
-                    if digest in seen:
-                        same.append((seen[digest], ids[i]))
+                for s in shingle_sets(texts[at:end], width):
+                    name = (len(s), *_digests(s)) if len(s) else None
+                    if name is None or name in seen:
                         continue
-                    seen[digest] = ids[i]
-                    t = signatures(s, bands)
-                    tokens.append(t)
-                    owners.append(np.full(len(t), ids[i], dtype=np.int64))
-            yield _batch(DOC, mix(ids.astype(U)), ids, sizes)
-            if same:
-                a, b = np.array(same, dtype=np.int64).T
-                yield _batch(SAME, mix(b.astype(U)), a, b)
-            if tokens:
+                    seen.add(name)
+                    tokens.append(signatures(s, bands))
+                    owners.append(np.full(len(tokens[-1]), name[1], dtype=np.int64))
+                    held += len(tokens[-1])
+                if held > HELD:
+                    yield from _runs(np.concatenate(tokens), np.concatenate(owners))
+                    tokens, owners, held = [], [], 0
+            if held:
                 yield from _runs(np.concatenate(tokens), np.concatenate(owners))
 
     return run
@@ -119,32 +196,30 @@ def _emit(width: int, num: int, den: int):
 def _runs(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((owner, token))
     token, owner = token[order], owner[order]
-    first = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
-    yield _batch(TOKEN, token[first], owner[first], owner[first])
-    center = np.repeat(owner[first], np.diff(np.append(first, len(token))))
-    rest = np.ones(len(token), dtype=bool)
-    rest[first] = False
-    rest &= center != owner
-    yield _batch(MEMBER, token[rest], center[rest], owner[rest])
+    first = np.append(True, token[1:] != token[:-1])
+    starts = np.flatnonzero(first)
+    yield _batch("key a b", token[starts].astype(np.int64), owner[starts], pa.nulls(len(starts), pa.int64()))
+    rest = ~first
+    rest &= (center := np.repeat(owner[starts], np.diff(np.append(starts, len(token))))) != owner
+    if rest.any():
+        a, b = np.unique(np.stack([center[rest], owner[rest]]), axis=1)
+        yield _batch("key a b", mix(b.astype(U)).astype(np.int64), a, b)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: signatures held by two or more documents become star links to the
-    smallest one; the other signatures go, the other rows pass."""
+    """Rows sorted by key: signatures of two or more sets become pairs of the smallest one,
+    their center, and each other; pairs pass."""
     last, center = None, 0
     for batch in batches:
-        kind, key, a, b = (batch.column(i).to_numpy() for i in range(4))
-        other = kind != TOKEN
-        if other.any():
-            for k in (DOC, SAME, MEMBER):
-                at = kind == k
-                if at.any():
-                    yield _batch(k, key[at], a[at], b[at])
-        key, a = key[~other], a[~other]
+        token = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        key, a = (batch.column(i).to_numpy() for i in (0, 1))
+        if not token.all():
+            b = batch.column(2).filter(pa.array(~token)).to_numpy()
+            yield _batch("star a b", np.zeros(len(b), dtype=bool), a[~token], b)
+        key, a = key[token], a[token]
         if not len(key):
             continue
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
+        first = np.append(True, key[1:] != key[:-1])
         starts = np.flatnonzero(first)
         centers = a[starts].copy()
         if last is not None and key[0] == last:
@@ -153,20 +228,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = np.repeat(centers, np.diff(np.append(starts, len(key))))
         at = ~first & (spread != a)
         if at.any():
-            yield _batch(STAR, key[at], spread[at], a[at])
+            pairs = np.unique(np.stack([spread[at], a[at]]), axis=1)
+            yield _batch("star a b", np.ones(pairs.shape[1], dtype=bool), *pairs)
         last, center = key[-1], spread[-1]
 
 
-def _sizes(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets([t.encode() for t in batch.column(1).to_pylist()], width)
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes], ["doc_id", "n_shingles"])
-
-    return run
-
-
 def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     """Sizes of all pairwise intersections, as products of 0/1 matrices over stretches of the
     elements that two or more sets hold."""
@@ -181,7 +247,7 @@ def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     row, column = row[shared], column[shared]
     if len(column):
         column = np.cumsum(np.append(False, column[1:] != column[:-1]))
-        width = max(64, min(width, (1 << 24) // n))
+        width = max(64, min(width, (1 << 22) // n))
         edges = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width))
         for k, (a, z) in enumerate(zip(edges, edges[1:])):
             held = np.zeros((n, width), dtype=np.float32)
@@ -203,16 +269,19 @@ def sketch(features: np.ndarray, k: int) -> bytes:
 
 
 def _sketches(width: int, num: int, den: int):
+    """Digest, size and sketch of each document beside its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
-            n, out = [], []
+            texts = _texts(batch, 1)
+            n, d, drawn = [], [], []
             for at, end in slices(texts):
                 for s in shingle_sets(texts[at:end], width):
                     n.append(len(s))
-                    out.append(sketch(s, 2 * len(s) * (den - num) // (den + num)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["id", "n", "sketch"])
+                    d.append(_digests(s)[0])
+                    drawn.append(sketch(s, 2 * len(s) * (den - num) // (den + num)))
+            yield _batch("id d n sketch text", batch.column(0), pa.array(d, pa.int64()),
+                         pa.array(n, pa.int64()), pa.array(drawn, pa.binary()), batch.column(1))
 
     return run
 
@@ -229,100 +298,122 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[list, list[list]]]:
-    """Rows with the same first values, which follow one another."""
-    held, rows = None, []
+def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows with the same first values, which follow one another; single rows are left out."""
+    held, pieces = None, []
     for batch in batches:
-        values = [batch.column(c).to_pylist() for c in range(batch.num_columns)]
-        for row in map(list, zip(*values)):
-            if row[:columns] != held:
-                if len(rows) > 1:
-                    yield held, rows
-                held, rows = row[:columns], []
-            rows.append(row[columns:])
-    if len(rows) > 1:
-        yield held, rows
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(columns)], axis=1)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+            if held is None or tuple(keys[a]) != held:
+                if sum(p.num_rows for p in pieces) > 1:
+                    yield held, pa.Table.from_batches(pieces)
+                held, pieces = tuple(keys[a]), []
+            pieces.append(batch.slice(a, z - a))
+    if sum(p.num_rows for p in pieces) > 1:
+        yield held, pa.Table.from_batches(pieces)
+
+
+def _gathered(columns: Iterator[list], names: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Many short columns as few batches."""
+    held, rows = [], 0
+    for own in columns:
+        held.append(own)
+        rows += len(own[0])
+        if rows > most:
+            yield _batch(names, *map(np.concatenate, zip(*held)))
+            held, rows = [], 0
+    if rows:
+        yield _batch(names, *map(np.concatenate, zip(*held)))
 
 
 def _part(num: int, den: int):
-    """Part each group into those that their sketches do not rule out to be linked."""
-
-    def parts(rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        size = min(len(r[2]) for r in rows)
-        table = np.zeros((len(rows), size), dtype=np.uint8)
-        for i, r in enumerate(rows):
-            table[i] = np.bitwise_xor.reduce(np.frombuffer(r[2], dtype=np.uint8).reshape(-1, size), axis=0)
-        a, b = [], []
-        for i in range(len(rows) - 1):
-            differ = (table[i + 1:] != table[i]).sum(axis=1)
-            near = np.flatnonzero((den + num) * differ <= (den - num) * (n[i] + n[i + 1:]))
-            a.append(np.full(len(near), i)), b.append(near + i + 1)
-        label = _joined(len(rows), np.concatenate(a), np.concatenate(b))
-        kept = np.bincount(label, minlength=len(rows))[label] > 1
-        return ids[label[kept]], ids[kept]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Part each group into those that their sketches do not rule out to be linked. Those who
+    are in one part already are not compared, so alike documents cost one comparison each."""
+
+    def parts(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+        size = min(map(len, sketches))
+        table = np.zeros((len(n), size), dtype=np.uint8)
+        for i, x in enumerate(sketches):
+            table[i] = np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0)
+        label = np.arange(len(n))
+        for i in range(len(n) - 1):
+            other = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+            differ = (table[other] != table[i]).sum(axis=1)
+            near = label[other[(den + num) * differ <= (den - num) * (n[i] + n[other])]]
+            if len(near):
+                every = np.append(near, label[i])
+                label[np.isin(label, every)] = every.min()
+        return label
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for key, rows in _groups(batches, 3):
-            part, b = parts(rows)
-            if len(b):
-                cols = [np.full(len(b), k, dtype=np.int64) for k in key] + [part, b]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "i", "j", "part", "b"])
+            ids, d, n = (rows.column(c).to_numpy() for c in ("id", "d", "n"))
+            label = parts(n, rows.column("sketch").to_pylist())
+            kept = np.bincount(label, minlength=len(label))[label] > 1
+            if kept.any():
+                yield [np.full(kept.sum(), k, dtype=np.int64) for k in key] + [label[kept], ids[kept], d[kept]]
 
-    return run
+    return lambda batches: _gathered(found(batches), "a i j part id d")
 
 
-def _compare(width: int, num: int, den: int):
-    """Rows sorted by group: all members of a group against each other, on their whole sets.
-    Gives each member that has similar ones a link to the smallest it is joined with."""
+def _compare(width: int, num: int, den: int, pivots: int = 4):
+    """Rows sorted by group: the members of a group against each other, on their whole sets,
+    all against some first; when these do not join the group, all against all. Gives each
+    member that has similar ones a link to the smallest it is joined with."""
 
-    def links(rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        ids, texts = np.array([r[0] for r in rows]), [r[1].encode() for r in rows]
+    def labels(texts: list[bytes]) -> np.ndarray:
         sets: list[np.ndarray] = []
         for at, end in slices(texts):
             sets += shingle_sets(texts[at:end], width)
         sizes = np.array([len(s) for s in sets])
+        elements, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        label = np.arange(len(sets))
+        for i in range(min(pivots, len(sets))):
+            if (label == label[0]).all():
+                return label
+            both = np.bincount(row[np.isin(elements, sets[i])], minlength=len(sets))
+            every = label[den * both >= num * (sizes + sizes[i] - both)]
+            label[np.isin(label, every)] = every.min()
+        if len(sets) <= pivots or (label == label[0]).all():
+            return label
         both = intersections(sets)
-        hit = den * both >= num * (sizes[:, None] + sizes - both)
-        label = _joined(len(rows), *np.nonzero(np.triu(hit, 1)))
-        moved = label != np.arange(len(rows))
-        return ids[label[moved]], ids[moved]
+        return _joined(len(sets), *np.nonzero(np.triu(den * both >= num * (sizes[:, None] + sizes - both), 1)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for _, rows in _groups(batches, 4):
-            a, b = links(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return run
-
-
-def _only(scratch: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of some identifiers. Up to BROADCAST of them are counted first and sent to
-    every task, 8 bytes each; more than that are joined by a shuffle of the texts."""
-    ids = scratch.keep(ids, "ids")
-    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id", "left_semi")
-
-
-def _verified(scratch: Scratch, texts: DataFrame, pairs: DataFrame, rules: tuple, block: int) -> DataFrame:
-    """Links among the documents of each center. A center with very many of them is dealt out
-    by pairs of blocks of about ``block`` documents, each pair of blocks a task of its own.
-    Sketches, a fraction of the texts, part the groups first; texts follow for what is left."""
-    groups = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
-    sizes = groups.groupBy("a").agg(F.expr(f"(count(1) - 1) div {block} + 1").alias("blocks"))
-    rows = groups.join(sizes, "a").withColumn("own", F.expr("pmod(xxhash64(b), blocks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "b"
+            ids = rows.column("id").to_numpy()
+            label = labels(rows.column("text").cast(pa.binary()).to_pylist())
+            moved = label != np.arange(len(label))
+            yield [ids[label[moved]], ids[moved]]
+
+    return lambda batches: _gathered(found(batches), "a b")
+
+
+def _verified(scratch: Scratch, needed: DataFrame, groups: DataFrame, rules: tuple, block: int) -> DataFrame:
+    """Links among the documents of each center. A center of many documents, or of very long
+    ones, is dealt out by pairs of blocks of about ``block`` documents, or 400 times as many
+    shingles, each pair of blocks a group of its own. Sketches, a fraction of the texts, part
+    the groups first; texts follow for what is left."""
+    sizes = groups.groupBy("a").agg(F.expr(
+        f"greatest((count(1) - 1) div {block}, least(count(1) - 1, sum(n) div {400 * block})) + 1"
+    ).alias("blocks")).filter("blocks > 1")
+    rows = groups.join(sizes, "a", "left").withColumn("own", F.expr("pmod(xxhash64(id, d), coalesce(blocks, 1))"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, coalesce(blocks, 1) - 1)"))).select(
+        "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "d"
     )
-    drawn = scratch.keep(texts.mapInArrow(_sketches(*rules), "id long, n long, sketch binary"), "sketches")
-    rows = rows.join(drawn, rows["b"] == drawn["id"]).select("a", "i", "j", "b", "n", "sketch")
-    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "b")
-    left = rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, b long")
-    left = scratch.keep(left, "left").distinct()
+    rows = rows.join(needed.select("id", "d", "n", "sketch"), ["id", "d"]).select("a", "i", "j", "id", "d", "n", "sketch")
+    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "id")
+    left = rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, id long, d long")
+    left = scratch.keep(left, "left")
     key = ["a", "i", "j", "part"]
-    texts = _only(scratch, texts, left.select(F.col("b").alias("id")).distinct())
-    left = left.join(texts, left["b"] == texts["id"]).select(*key, "b", "text")
-    left = left.repartition(*key).sortWithinPartitions(*key, "b")
-    return left.mapInArrow(_compare(*rules), "a long, b long")
+    rows = left.join(needed.select("id", "d", "text"), ["id", "d"]).select(*key, "id", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "id")
+    links = scratch.keep(rows.mapInArrow(_compare(*rules), "a long, b long"), "verified")
+    scratch.drop(left)
+    return links
 
 
 def jaccard_components(
@@ -332,7 +423,7 @@ def jaccard_components(
     similarity: tuple[int, int] = (80, 100),
     id_col: str = "doc_id",
     text_col: str = "text",
-    block: int = 512,
+    block: int = 1024,
 ) -> DataFrame:
     """Exact components of the graph that links documents with similar shingle sets.
 
@@ -340,14 +431,15 @@ def jaccard_components(
     distinct shingles of ``width`` words, or its whole word sequence if it has fewer. Two
     documents link when intersection / union is at least ``similarity``.
 
-    Every document sends its PartEnum signatures (see ``signatures``) into one shuffle; sets and
-    signatures that repeat within a batch are combined before it, so a signature of a third
-    of all documents costs one row per batch. The smallest document of a signature is its
-    center. Two similar documents share a signature, and so a center; all documents of a
-    center are compared with each other, within one task or, if there are very many, one task
+    Documents with equal sets are one class, whose set is named by 128 bits; classes are the
+    rows of all that follows. Every class sends its PartEnum signatures (see ``signatures``)
+    into one shuffle; signatures that repeat within a batch are combined before it, so one
+    that a third of all documents share costs one row per batch. The smallest set of a
+    signature is its center. Two similar sets share a signature, and so a center; all sets of
+    a center are compared with each other, within one task or, if there are many, one task
     per pair of blocks: by sketches that rule pairs out for certain, then by their whole sets.
     Pairs are never listed: a task gives each document a link to the smallest that its links
-    join it with. No similar pair is missed.
+    join it with, and compares none that are joined already. No similar pair is missed.
 
     Null text is empty; empty sets link with nothing. Rows with the same identifier are one
     document, linked wherever one of its rows is. Rows without identifier link with nothing
@@ -359,22 +451,39 @@ def jaccard_components(
     rules = (width, *similarity)
     texts = docs.select(column(id_col).cast("long").alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     named = texts.filter("id is not null")
-    rows = named.mapInArrow(_emit(*rules), ROWS).repartition("key").sortWithinPartitions("key", "kind", "a")
-    rows = scratch.keep(rows.mapInArrow(_scan, ROWS), "rows")
-    sizes = rows.filter(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    same = rows.filter(F.col("kind") == SAME).select("a", "b")
-    local = rows.filter(F.col("kind") == MEMBER).select("key", "a", "b")
-    stars = rows.filter(F.col("kind") == STAR).select("key", F.col("a").alias("center"), F.col("b").alias("a"))
-    # what met its smallest holder within a batch meets the smallest of all
-    pairs = local.join(stars, ["key", "a"], "left").select(F.coalesce("center", "a").alias("a"), "b")
-    pairs = pairs.unionByName(stars.select(F.col("center").alias("a"), F.col("a").alias("b")))
-    pairs = scratch.keep(pairs.filter("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    needed = scratch.keep(_only(scratch, named, ids), "texts")
-    links = _verified(scratch, needed, pairs, rules, block).unionByName(same)
-    parts = components(scratch, links)
-    out = sizes.join(parts, sizes["doc_id"] == parts["v"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    sets = scratch.keep(texts.mapInArrow(_sets(width), SETS), "sets")
+    full = sets.filter("id is not null and n > 0")
+    classes = full.groupBy("d", "e", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    classes = scratch.keep(classes, "classes")
+
+    sent = named.select("text").mapInArrow(_emit(*rules), "key long, a long, b long")
+    met = sent.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_scan, "star boolean, a long, b long")
+    met = scratch.keep(met, "met")
+    stars, local = (met.filter(x).select("a", "b").distinct() for x in ("star", "not star"))
+    # what met its smallest set within a batch meets the centers of that one
+    beyond = local.join(stars.toDF("center", "a"), "a").select("center", "b")
+    pairs = scratch.keep(stars.unionByName(local).union(beyond).distinct(), "pairs")
+    groups = pairs.union(pairs.select("a", "a").distinct()).toDF("a", "d").join(classes, "d").select("a", "d", "id", "n")
+    groups = scratch.keep(groups, "groups")
+    needed = named.join(groups.select("id").distinct(), "id", "left_semi").select("id", "text")
+    needed = scratch.keep(
+        needed.mapInArrow(_sketches(*rules), "id long, d long, n long, sketch binary, text string"), "needed"
+    )
+    links = _verified(scratch, needed, groups, rules, block)
+    scratch.drop(met, pairs, groups, needed)
+
+    # identifiers of several sets join these
+    several = full.groupBy("id").agg(F.min(F.struct("d", "e")).alias("x"), F.max(F.struct("d", "e")).alias("y"))
+    several = scratch.keep(several.filter("x <> y").select("id"), "several")
+    ties = full.join(several, "id").select(F.col("id").alias("a"), "d", "e", "n").join(classes, ["d", "e", "n"])
+    parts = components(scratch, links.unionByName(ties.select("a", F.col("id").alias("b"))))
+    scratch.drop(links)
+    known = classes.join(parts, classes["id"] == parts["v"], "left").select(
+        "d", "e", "n", "copies", "id", F.coalesce("component", "id").alias("component")
+    ).filter("copies > 1 or component <> id").drop("copies", "id")
+    own = several.join(parts, several["id"] == parts["v"]).select("id", F.col("component").alias("own"))
+    out = sets.join(known, ["d", "e", "n"], "left").join(own, "id", "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("own", "component", "id")).alias("component_id"),
     )
-    nameless = texts.filter("id is null").mapInArrow(_sizes(width), "doc_id long, n_shingles long")
-    return out.unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))

@@ -141,9 +141,43 @@ def test_similar_sets_share_a_signature(n, lost, added, seed):
     a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
     b = np.unique(np.append(a[min(lost, len(a) - 1):], rng.integers(0, 1 << 62, added).astype(np.uint64)))
     both = len(np.intersect1d(a, b))
-    if 100 * both >= 85 * (len(a) + len(b) - both):
-        bands = ngram_join.Bands(85, 100)
-        assert len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
+    for num in (60, 80, 85, 95):
+        if 100 * both >= num * (len(a) + len(b) - both):
+            bands = ngram_join.Bands(num, 100)
+            assert len(np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)))
+
+
+def test_signatures_enumerate_subsets():
+    """Two sets that share a passage alone share few signatures: each covers several shingles."""
+    bands = ngram_join.Bands(80, 100)
+    k = bands.differing(bands.of(300))
+    n1, n2, k2 = ngram_join.scheme(k, 300, 240, bands.differing(bands.of(300), 240))
+    assert k2 >= 1 and n2 - k2 >= 2 and n1 > k // (k2 + 1)
+    rng = np.random.default_rng(5)
+    passage, *own = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (100, *[200] * 30))
+    held = [ngram_join.signatures(np.append(passage, x), bands) for x in own]
+    shared = [len(np.intersect1d(held[0], x)) for x in held[1:]]
+    assert sum(shared) < len(shared)
+
+
+def test_join_of_a_large_family_and_of_long_texts(spark):
+    """5,000 near copies are dealt out by blocks; texts of 60,000 words are compared whole."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1:])) for i, k in enumerate(rng.integers(0, 60, 5000).tolist())]
+    long = [f"l{i}" for i in range(60_000)]
+    docs += [(10_000, " ".join(long)), (10_001, " ".join(long[4000:])), (10_002, " ".join(long[25_000:]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark, table, 5).collect()}
+    assert all(got[i] == 0 for i in range(5000))
+    assert (got[10_000], got[10_001], got[10_002]) == (10_000, 10_000, 10_002)
+
+
+def test_join_of_many_rows_with_one_identifier(spark):
+    docs = [(1, f"a b c d e {i % 3}") for i in range(300)] + [(2, "a b c d e 1"), (3, None), (1, "")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    out = ngram_join.jaccard_components(spark, table, 5).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 1, 3: 3} and len(out) == len(docs)
 
 
 @settings(deadline=None, max_examples=200)
