@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from operator import eq
 
 import numpy as np
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import column, small_batches
 from .hashing import U, mix, slices, words
 
 # Very common words of the languages the labeller knows.
@@ -66,10 +67,26 @@ def label_word_length(t: str, w: list[str]) -> int:
     return GOOD if 3 <= mean <= 10 else BAD if mean > 14 or mean < 2 else SILENT
 
 
+def label_runs(t: str, w: list[str]) -> int:
+    longest = max((sum(1 for _ in run) for _, run in groupby(w)), default=0)
+    return _defect(longest, 4)
+
+
+def label_variety(t: str, w: list[str]) -> int:
+    """Of pairs of neighbouring words, how many are not the same again."""
+    if len(w) < 20:
+        return SILENT
+    share = len(set(zip(w, w[1:]))) / (len(w) - 1)
+    return GOOD if share >= 0.6 else BAD if share < 0.3 else SILENT
+
+
 LABELLERS = (
     label_symbols, label_capitals, label_shouting, label_stutter, label_lists, label_common_words,
-    label_repeated_lines, label_word_length,
+    label_repeated_lines, label_word_length, label_runs, label_variety,
 )
+#: What is held of a labeller before any text is seen: how often it says BAD, nothing, GOOD of a
+#: bad and of a good text. This counts as much as ``strength`` of all texts would, at any size.
+PRIOR = np.array([[0.25, 0.5, 0.25], [0.01, 0.55, 0.44]])
 
 
 def votes(text: str) -> int:
@@ -85,37 +102,37 @@ def unpack(code: int) -> tuple[int, ...]:
     return tuple(code // 3**i % 3 for i in range(len(LABELLERS) - 1, -1, -1))
 
 
-def rate_labellers(counts: dict[int, int], rounds: int = 100, odds: float = 100.0, weak: float = 2.0) -> tuple[dict[int, float], list[tuple[float, float]]]:
+def rate_labellers(
+    counts: dict[int, int], rounds: int = 200, strength: float = 0.1, good: float = 0.9,
+) -> tuple[dict[int, float], np.ndarray]:
     """EM over vote patterns: the probability of good quality per pattern, and each labeller's
-    rates of being right on good and on bad texts when it speaks."""
+    rates of the three votes on bad and on good texts, as (labeller, class, vote).
+
+    The rates are those of largest posterior probability under Dirichlet priors of the mean
+    ``PRIOR``, the share of good texts that under a prior of the mean ``good``."""
     codes = sorted(counts)
     v = np.array([unpack(c) for c in codes], dtype=np.int64).reshape(len(codes), len(LABELLERS))
     n = np.array([counts[c] for c in codes], dtype=float)
-    # at first, one labeller that calls a text bad outweighs several that call it good
-    post = np.where((v == BAD).any(axis=1), 0.2, 0.9) if len(codes) else np.zeros(0)
-    accuracy = [(0.5, 0.5)] * len(LABELLERS)
+    weight = strength * max(n.sum(), 1.0)
+    rates = np.tile(PRIOR, (len(LABELLERS), 1, 1))
+    mass = np.array([1 - good, good])
+    post = np.zeros(len(codes))
     for _ in range(rounds):
-        mass = np.array([1 + (n * (1 - post)).sum(), 1 + (n * post).sum()])
-        log = np.tile(np.log(mass / mass.sum()), (len(codes), 1))
-        accuracy = []
+        log = np.tile(np.log(mass), (len(codes), 1))
         for j in range(len(LABELLERS)):
-            rate = np.ones((2, 3))
-            for c, q in ((0, 1 - post), (1, post)):
-                rate[c] += np.bincount(v[:, j], weights=n * q, minlength=3)
-            accuracy.append((rate[1, GOOD] / (rate[1, GOOD] + rate[1, BAD]), rate[0, BAD] / (rate[0, GOOD] + rate[0, BAD])))
-            rate /= rate.sum(axis=1, keepdims=True)
-            # A labeller is taken to be better than chance when it names a defect, and weak
-            # evidence when it names none. Without this a defect that few labellers see would
-            # become a trait of good texts.
-            rate[0, BAD] = max(rate[0, BAD], odds * rate[1, BAD])
-            rate[0, GOOD] = max(rate[0, GOOD], rate[1, GOOD] / weak)
-            log += np.log(rate[:, v[:, j]]).T
+            log += np.log(rates[j][:, v[:, j]]).T
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         moved = np.abs(new - post).max(initial=0)
         post = new
         if moved < 1e-10:
             break
-    return dict(zip(codes, post.tolist())), accuracy
+        mass = np.array([(n * (1 - post)).sum(), (n * post).sum()]) + weight * np.array([1 - good, good])
+        mass /= mass.sum()
+        for j in range(len(LABELLERS)):
+            seen = np.stack([np.bincount(v[:, j], weights=n * q, minlength=3) for q in (1 - post, post)])
+            rates[j] = seen + weight * PRIOR
+            rates[j] /= rates[j].sum(axis=1, keepdims=True)
+    return dict(zip(codes, post.tolist())), rates
 
 
 BITS = 18
@@ -197,9 +214,13 @@ def fit_quality(
     spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 2000,
 ) -> Scorer:
     """Train the scorer. Labellers vote on every document; only counts per vote pattern, at
-    most 3^8 of them, reach the driver, and EM rates the labellers on these. The linear scorer
+    most 3^10 of them, reach the driver, and EM rates the labellers on these. The linear scorer
     is then fitted on at most ``sample_rows`` whole documents, the first by a hash of
-    identifier and text, with the posteriors of their patterns as labels."""
+    identifier and text, with the posteriors of their patterns as labels.
+
+    Null text is empty, and bad to all labellers, as is one without words. Repeated rows and
+    ties in the hash count each; rows equal in identifier and text are alike, so reruns see
+    the same sample in the same order. From an empty table comes a scorer that rejects."""
 
     @F.pandas_udf("int")
     def vote(text: pd.Series) -> pd.Series:
@@ -207,19 +228,22 @@ def fit_quality(
 
     text = F.coalesce(column(text_col), F.lit(""))
     rows = docs.select(column(id_col).alias("id"), text.alias("text"))
+    small_batches(spark)
     counts = {r["code"]: r["n"] for r in rows.select(vote("text").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()}
     post, _ = rate_labellers(counts)
     total = sum(counts.values())
     # the first rows by hash: all below a bound that lets about as many through as are wanted
     part = rows.withColumn("h", F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)))
     bound = 1_000_000 if total <= sample_rows else int(1_000_000 * 0.9 * sample_rows / total) + 1
-    sample = part.filter(F.col("h") < bound).limit(sample_rows).select("text").toPandas()["text"].tolist() if total else []
+    sample = part.filter(F.col("h") < bound).orderBy("h", "id", "text").limit(sample_rows)
+    sample = sample.select("text").toPandas()["text"].tolist() if total else []
     target = np.array([post.get(votes(t), 0.0) for t in sample])
     return train_scorer(sample, target)
 
 
 def score_quality(docs: DataFrame, scorer: Scorer, text_col: str = "text", score: str = "score") -> DataFrame:
-    """Add the probability of good quality of each whole text."""
+    """Add the probability of good quality of each whole text, 0 if it is null or has no words.
+    Every row keeps its columns and stays once; a column named as ``score`` is replaced."""
 
     @F.pandas_udf("double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
