@@ -16,6 +16,7 @@ def interleaved_shards(
     text_col: str = "text",
     source_col: str = "source",
     seed: int = 17,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Deal rows to shards so that every shard has each source in its share of all rows.
 
@@ -26,9 +27,10 @@ def interleaved_shards(
 
     Null texts are empty, null sources are one source of their own, null identifiers hash
     like a value; rows alike in everything are interchangeable, so ties change nothing. An
-    empty table gives no rows. Other columns are not read.
+    empty table gives no rows. Columns other than those named in ``carry`` are not read.
 
-    Returns doc_id, source, size (UTF-8 bytes plus one), text_crc32, shard, slot.
+    Returns doc_id, source, size (UTF-8 bytes plus one), text_crc32, shard, slot, and carried
+    (a struct of ``carry``).
     """
     scratch = Scratch(spark, "sharding")
     text = F.coalesce(column(text_col), F.lit(""))
@@ -37,6 +39,7 @@ def interleaved_shards(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), column(id_col)).alias("key"),
+        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
     )
     rows = ranked(scratch, rows, ["key", "doc_id", "text_crc32", "size"], "r", by="source")
     sums = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -50,20 +53,31 @@ def interleaved_shards(
     return rows.withColumn("shard", shard.cast("int")).select(
         "doc_id", "source", "size", "text_crc32", "shard",
         F.expr(f"place - (shard * {total}L + {shards - 1}) div {shards}").alias("slot"),
+        "carried",
     )
 
 
 def write_shards(
     spark: SparkSession, docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id",
-    **options: str | int,
+    text_col: str = "text", source_col: str = "source", **options: str | int,
 ) -> None:
     """Write every row, in the order of its slots, below ``path`` in folders by shard.
 
-    Identifiers must be unique here, as rows are fetched by them.
-    """
-    placed = interleaved_shards(spark, docs, shards, id_col, **options)
-    placed = placed.select("doc_id", "shard", "slot")
-    rows = docs.join(placed.withColumnRenamed("doc_id", id_col), id_col)
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy(
-        "shard"
-    ).parquet(path)
+    Rows are numbered and written once, placed by number, and joined with their places by
+    number, so null or repeated identifiers and rows alike in everything are rows like others.
+    The folders are named ``shard=``, or with underscores behind it where a column of the table
+    has that name. An empty table writes no folder."""
+    scratch = Scratch(spark, "shards")
+    rows = scratch.keep(docs.select(
+        F.struct(*(column(c) for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("_row")), "rows")
+    slim = rows.select(
+        F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("text"),
+        F.col("row").getField(source_col).alias("source"), "_row")
+    placed = interleaved_shards(spark, slim, shards, "id", "text", "source", carry=("_row",), **options)
+    placed = placed.select(F.col("carried._row").alias("_row"), "shard", "slot")
+    folder, taken = "shard", {c.lower() for c in docs.columns}
+    while folder in taken:
+        folder += "_"
+    rows = rows.join(placed, "_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("shard").alias(folder)).write.partitionBy(
+        folder).parquet(path)
