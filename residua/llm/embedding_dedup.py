@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import gathered, grouped
 from .common import Scratch, column
 from .graph import components
 from .hashing import U, mix
@@ -70,7 +71,7 @@ def cells(x: np.ndarray, tables: int, width: float, seed: int) -> np.ndarray:
     return out
 
 
-def _unit(vectors: list) -> np.ndarray:
+def _unit(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -124,18 +125,32 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _verify(tables: int, width: float, seed: int, cosine: float):
-    """Rows sorted by cell and pair of blocks: counts of links, and edges of a forest."""
+def _vectors(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All components, and where each vector's begin (one more entry than vectors)."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(), np.append(0, np.cumsum(whole.value_lengths().to_numpy()))
 
-    def group(key, first, second, rows):
-        ids, mult, block = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1, 2))
-        links, edges = [], []
-        vectors = [r[3] for r in rows]
-        for own in _by_length(vectors):
+
+def _verify(tables: int, width: float, seed: int, cosine: float, tile: int = 512):
+    """Rows sorted by cell and pair of blocks: counts of links, and edges of a forest. Cosines
+    are computed a tile of rows against all later ones at a time."""
+
+    def group(held, rows):
+        key, first, second = held
+        ids, mult, block = (rows.column(c).to_numpy() for c in ("cls", "mult", "own"))
+        values, begin = _vectors(rows.column("v"))
+        lengths = np.diff(begin)
+        for d in np.unique(lengths):
+            own = np.flatnonzero(lengths == d)
             if len(own) < 2:
                 continue
-            x = _unit([vectors[i] for i in own])
-            i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
+            x = _unit(values[begin[own][:, None] + np.arange(d)])
+            pairs = []
+            for at in range(0, len(own), tile):
+                i, j = np.nonzero(x[at:at + tile] @ x[at:].T >= cosine)
+                pairs.append(np.stack([i, j])[:, i < j] + at)
+            i, j = np.concatenate(pairs, axis=1)
             if first != second:
                 cross = block[own][i] != block[own][j]
                 i, j = i[cross], j[cross]
@@ -144,39 +159,19 @@ def _verify(tables: int, width: float, seed: int, cosine: float):
             used = np.unique(np.concatenate([i, j]))
             keys = np.zeros((len(own), tables, PROBES), dtype=U)
             keys[used] = cells(x[used], tables, width, seed)
-            counted = first_meeting(keys[i], keys[j]) == U(key & (1 << 64) - 1)
+            counted = first_meeting(keys[i], keys[j]) == U(int(key) & (1 << 64) - 1)
             i, j = i[counted], j[counted]
             n = np.bincount(i, mult[own][j], len(own)) + np.bincount(j, mult[own][i], len(own))
-            links += [(ids[own][k], int(n[k])) for k in np.flatnonzero(n)]
             root = _forest(len(own), i, j)
-            edges += [(ids[own][k], ids[own][root[k]]) for k in np.flatnonzero(root != np.arange(len(own)))]
-        return [(LINKS, *x) for x in links] + [(EDGE, *x) for x in edges]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows, out = None, [], []
+            linked, moved = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(own)))
+            kinds = np.repeat(np.array([LINKS, EDGE], dtype=np.int32), [len(linked), len(moved)])
+            yield [kinds, ids[own[np.append(linked, moved)]], np.append(n[linked].astype(np.int64), ids[own[root[moved]]])]
 
-        def made():
-            kinds, a, b = zip(*out)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["kind", "a", "b"]
-            )
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for held, rows in grouped(batches, 3):
+            yield from group(held, rows)
 
-        for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(7))):
-                if (key, i, j) != held:
-                    if len(rows) > 1:
-                        out += group(*held, rows)
-                    held, rows = (key, i, j), []
-                rows.append(row)
-            if out:
-                yield made()
-                out = []
-        if len(rows) > 1:
-            out += group(*held, rows)
-        if out:
-            yield made()
-
-    return run
+    return lambda batches: gathered(found(batches), "kind a b")
 
 
 def near_embeddings(
@@ -187,7 +182,7 @@ def near_embeddings(
     vector_col: str = "embedding",
     tables: int = 8,
     width: float = 2.0,
-    block: int = 1024,
+    block: int = 4096,
     seed: int = 5,
 ) -> DataFrame:
     """Links between vectors of at least ``cosine``, and components of the links.
