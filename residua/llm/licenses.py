@@ -42,22 +42,82 @@ TEMPLATES = {
         "the GNU General Public License as published by the Free Software Foundation, either version "
         "3 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at",
     ],
     "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+    ],
+    "BSD-2-Clause OR BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:",
     ],
+    "BSL-1.0": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy "
+        'of the software and accompanying documentation covered by this license (the "Software") to '
+        "use, reproduce, display, distribute, execute, and transmit the Software, and to prepare "
+        "derivative works of the Software, and to permit third-parties to whom the Software is "
+        "furnished to do so, all subject to the following:",
+        "Distributed under the Boost Software License, Version 1.0.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will "
+        "the authors be held liable for any damages arising from the use of this software. Permission "
+        "is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following "
+        "restrictions:",
+    ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
         "without fee is hereby granted, provided that the above copyright notice and this permission "
         "notice appear in all copies.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -65,6 +125,9 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "Dedicated to the public domain under CC0 1.0."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Words in which licenses of otherwise like wordings differ, and their versions.
+MARKS = frozenset("affero lesser library noncommercial noderivatives sharealike".split())
+VERSIONS = frozenset("1 1.0 2 2.0 2.1 3 3.0 4 4.0".split())
 CUES = r"(?i)licen[cs]|subject to the terms|copyright|permission|redistribut|public domain|free software|CC0"
 # A word that a line ends in at its hyphen goes on behind the marks that start the next line.
 BREAK = r"(?<=-)\r?\n[ \t#*/;>]*"
@@ -142,10 +205,16 @@ def align(found: list[str], wording: list[str]) -> tuple[int, int, list[tuple[in
     return agree[0][0], agree[-1][0] + 1, diffs
 
 
+def _other_license(got: list[str], meant: list[str]) -> bool:
+    """Does a difference tell licenses apart: a word of one, or one version for another?"""
+    versions = [[w for w in words if w in VERSIONS] for words in (got, meant)]
+    return all(versions) and versions[0] != versions[1] or {*got} & MARKS != {*meant} & MARKS
+
+
 class Scanner:
-    """``candidates`` limits nothing: every wording that a piece of occurs is aligned."""
+    """Every wording that a piece of occurs is aligned, however many there are."""
 
-    def __init__(self, templates: dict[str, list[str]], candidates: int, tolerance: float) -> None:
+    def __init__(self, templates: dict[str, list[str]], tolerance: float) -> None:
         self.rows = [(name, j, t) for name, ts in templates.items() for j, t in enumerate(ts)]
         self.words = [[w.lower() for w in WORDS.findall(t)] for *_, t in self.rows]
         # one word at least is to agree
@@ -176,11 +245,13 @@ class Scanner:
                 lo, hi = max(lo, 0), min(hi, len(found))
                 for a, z in self._ends(found, lo, hi, i):
                     b, e, diffs = align(found[a:z], wording)
+                    if any(_other_license(got, meant) for _, got, meant in diffs):
+                        continue
                     if (i, a + b, a + e) not in hits:
                         hits[i, a + b, a + e] = self._hit(text, spots, a + b, a + e, i, diffs)
-        # the same words once, under the wording closest to them
+        # the same words once, under the wording that agrees with most of them
         kept: list[tuple] = []
-        for hit in sorted(hits.values(), key=_rank):
+        for _, hit in sorted((_rank(hit, len(self.words[i])), hit) for (i, *_), hit in hits.items()):
             k = bisect_left(kept, hit[2], key=lambda h: h[3] - 1)
             if k == len(kept) or kept[k][2] >= hit[3]:
                 kept.insert(k, hit)
@@ -231,9 +302,10 @@ class Scanner:
         return name, j, start, end, round(saved, 6), sum(d[0] for d in diffs), said
 
 
-def _rank(hit: tuple) -> tuple:
-    """Fewest differences first, then the longer stretch, then the larger reduction, then the first one."""
-    return hit[5], hit[2] - hit[3], -hit[4], hit[0], hit[1], hit[2]
+def _rank(hit: tuple, words: int) -> tuple:
+    """Most words of the wording without the differences, then fewest differences, then the
+    larger reduction, then the first one."""
+    return 2 * hit[5] - words, hit[5], -hit[4], hit[0], hit[1], hit[2]
 
 
 def scan_licenses(
@@ -242,7 +314,6 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     templates: dict[str, list[str]] | None = None,
-    candidates: int = 4,
     tolerance: float = 0.1,
 ) -> DataFrame:
     """License notices in whole texts: which one, where, and how its wording differs.
@@ -252,7 +323,9 @@ def scan_licenses(
     around each place of a piece the template is aligned with the words of the text, whatever
     the lines, so a text's length, its line breaks, and further notices beside hide nothing. A
     found stretch is compressed with the template as a zstandard raw dictionary; of wordings of
-    equal differences the one that shrinks it most is told. ``candidates`` limits nothing.
+    equal agreement the one that shrinks it most is told. A difference in a word that tells
+    licenses apart (Lesser, Affero and others, or another version; see ``MARKS`` and
+    ``VERSIONS``) is none of wording: it refuses the finding.
     Nothing is shuffled; Spark passes only texts that hold a cue (see ``gate``) to Python.
 
     Null or empty texts have no findings. Repeated rows give repeated findings; findings of
@@ -263,11 +336,11 @@ def scan_licenses(
     """
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     chosen = templates or TEMPLATES
-    rows = rows.filter(F.col("text").rlike(gate(Scanner(chosen, candidates, tolerance))))
+    rows = rows.filter(F.col("text").rlike(gate(Scanner(chosen, tolerance))))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(chosen, candidates, tolerance)
+        scanner = Scanner(chosen, tolerance)
         kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
         names = [c.split()[0] for c in OUT.split(", ")]
         for batch in batches:
