@@ -47,11 +47,39 @@ def entropy(df: DataFrame, value: str) -> DataFrame:
 
 
 def estimate(df: DataFrame, pos: str, value: str, size: int) -> DataFrame:
-    """Bytes of a column under frame of reference per fixed partition, and the ratio."""
+    """Bytes of a column under frame of reference per fixed partition: packed bits in whole
+    bytes, and eight bytes for the frame."""
     from ..operators.partition import bit_length, with_pid
 
     blocks = with_pid(df, pos, size).groupBy("pid").agg(
         F.count(F.lit(1)).alias("n"), (F.max(value) - F.min(value)).alias("spread"))
-    bits = F.col("n") * bit_length(F.col("spread"))
-    return blocks.agg(
-        F.sum(F.col("n") * 8).alias("raw_bytes"), F.sum(F.ceil((bits + 7).cast("double") / 8 - 0.999) + 8).cast("long").alias("packed_bytes"))
+    bits = (F.col("n") * bit_length(F.col("spread"))).cast("long")
+    return blocks.withColumn("bits", bits).agg(
+        F.sum(F.col("n") * 8).alias("raw_bytes"), F.sum(F.expr("(bits + 7) div 8 + 8")).alias("packed_bytes"))
+
+
+def limits(df: DataFrame, pos: str, value: str) -> DataFrame:
+    """What a column could be at best as one piece: bytes under one frame of reference, and as
+    differences of neighbours, unsigned if none falls, with a sign bit otherwise; eight bytes
+    for the first value."""
+    from ..operators.partition import bit_length
+
+    frame = df.agg(F.count(F.lit(1)).alias("n"), (F.max(value) - F.min(value)).alias("spread"))
+    step = _steps(df, pos, value).agg(F.min("d").alias("least"), F.max("d").alias("most"), F.max(F.abs("d")).alias("widest"))
+    bits = F.when(F.col("least") >= 0, bit_length(F.col("most"))).otherwise(bit_length(F.col("widest")) + 1)
+    # one row each
+    both = frame.withColumn("one", F.lit(1)).join(step.withColumn("one", F.lit(1)), "one").withColumns({
+        "frame_bits": F.coalesce(bit_length(F.col("spread")), F.lit(0)), "delta_bits": F.coalesce(bits, F.lit(0))})
+    return both.select(
+        "n", (F.col("n") * 8).alias("raw_bytes"), "frame_bits", F.expr("8 + n * frame_bits div 8").alias("frame_bytes"),
+        "delta_bits", F.expr("8 + n * delta_bits div 8").alias("delta_bytes"))
+
+
+def byte_entropy(df: DataFrame, value: str) -> DataFrame:
+    """Bits per byte of the values' eight bytes, and the ratio that they allow at best."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function(
+        "shiftright", F.col(value).cast("long"), i * 8).bitwiseAND(F.lit(255)))
+    counts = value_counts(df.select(F.explode(each).alias("byte")), "byte")
+    return counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2("n")).alias("s")).select(
+        F.round(F.log2("n") - F.col("s") / F.col("n"), 6).alias("entropy"),
+        F.round(8 / (F.log2("n") - F.col("s") / F.col("n")), 6).alias("ratio"))

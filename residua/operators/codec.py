@@ -8,7 +8,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,12 +101,29 @@ def _stretches(batches: Iterator[pa.RecordBatch], unsigned: bool) -> Iterator[tu
         yield held, np.concatenate(pos), np.concatenate(val)
 
 
-def encode(df: DataFrame, pos: str, value: str, config: Config = Config()) -> DataFrame:
-    """Blocks of a column. Values are integers or DECIMAL(20,0) below 2^64; nulls and gaps or
-    repeats in the positions raise an error. An empty column has no blocks.
+def _dense(df: DataFrame, pos: str, first: int) -> None:
+    """Raise an error unless the positions can be first, first + 1 and so on: from their
+    number, least and greatest. Which are there twice shows when a stretch is encoded."""
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(pos), F.max(pos)).first()
+    if n and (low != first or high - low + 1 != n):
+        raise ValueError(f"{n} positions from {low} to {high} have gaps or repeats, or do not begin at {first}")
 
-    Rows shuffle once, by stretch of positions, and are encoded as they stream by, a stretch
-    in memory at a time."""
+
+def _relative(ordered: np.ndarray) -> np.ndarray:
+    """Distances from the least value, as signed numbers, for the search of partitions; where
+    they reach 2^63, halves of them. What is encoded are the values themselves."""
+    apart = ordered.view(U) - ordered.min().view(U)
+    return (apart >> U(1) if apart.max() >= 1 << 63 else apart).view(I)
+
+
+def encode(df: DataFrame, pos: str, value: str, config: Config = Config(), first: int = 0) -> DataFrame:
+    """Blocks of a column. Values are integers or DECIMAL(20,0) below 2^64, over their whole
+    range. Positions go from ``first`` on without gaps or repeats; others raise an error, and
+    so do nulls. An empty column has no blocks.
+
+    The extremes of the positions are looked up at once. Rows then shuffle once, by stretch of
+    positions, and are encoded as they stream by, a stretch in memory at a time."""
+    _dense(df, pos, first)
     kind = df.schema[value].dataType.simpleString()
     if kind not in (*SIGNED, UNSIGNED):
         raise TypeError(f"{value} is {kind}; the codec takes integers or {UNSIGNED}")
@@ -126,9 +143,7 @@ def encode(df: DataFrame, pos: str, value: str, config: Config = Config()) -> Da
                 raise ValueError(f"positions {p[0]} to {p[-1]} have gaps or repeats")
             ordered = v if unsigned else v.view(I)
             out = []
-            small = np.abs(ordered.astype(np.float64)).max() <= 1 << 53
-            cuts = config.cuts(ordered.astype(I)) if small else Config.fixed(config.size).cuts(ordered)
-            for k, (a, z) in enumerate(cuts):
+            for k, (a, z) in enumerate(config.cuts(_relative(ordered))):
                 b = (M.encode_as(v[a:z], config.model, unsigned) if config.model
                      else M.encode_best(v[a:z], unsigned, config.degree))
                 own = ordered[a:z]
@@ -162,33 +177,62 @@ def decode(blocks: DataFrame, kind: str = "bigint", pos: str = "pos", value: str
     return out.withColumn(value, F.col(value).cast(kind)) if kind not in ("bigint", UNSIGNED) else out
 
 
+def decode_where(blocks: DataFrame, low: object, high: object, kind: str = "bigint") -> DataFrame:
+    """Positions and values in [low, high]. Only blocks whose bounds allow such values are
+    decoded; of blocks in Parquet the reader skips the others."""
+    from .partition import candidates
+
+    return decode(candidates(blocks, low, high), kind).filter(F.col("value").between(low, high))
+
+
 def decode_blocks(blocks: DataFrame, wanted: DataFrame, **options: str) -> DataFrame:
     """Only the blocks whose numbers are wanted."""
     return decode(blocks.join(wanted.select("pid").distinct(), "pid", "left_semi"), **options)
 
 
-def offsets(blocks: DataFrame) -> DataFrame:
-    """The bit at which each block would begin were the payloads one stream.
+#: Positions whose blocks one task puts in order.
+SPAN = STRETCH * 64
+
+
+def _in_order(blocks: DataFrame, size: Column) -> DataFrame:
+    """Blocks with ``before``, the sum of ``size`` over the blocks before, and ``expected``, the
+    end of the block before. Blocks are put in order within spans of positions; of each span
+    only a row of sums takes part in the total order."""
+    rows = blocks.withColumn("_span", F.expr(f"start div {SPAN}")).withColumn("_size", size)
+    own = Window.partitionBy("_span").orderBy("start", "end")
+    spans = rows.groupBy("_span").agg(F.sum("_size").alias("_sum"), F.max(F.struct("start", "end")).alias("_last"))
+    order = Window.orderBy("_span")
+    spans = spans.select(
+        "_span", F.coalesce(F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sum"),
+        F.lag("_last.end", 1, 0).over(order).alias("_end"))
+    rows = rows.withColumns({
+        "_inside": F.coalesce(F.sum("_size").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_lag": F.lag("end").over(own),
+    })
+    return rows.join(spans, "_span").withColumns({
+        "before": (F.col("_sum") + F.col("_inside")).cast("long"), "expected": F.coalesce("_lag", "_end"),
+    }).drop("_span", "_size", "_sum", "_end", "_inside", "_lag")
+
 
-    Blocks are few against rows; the running sum over them is the only total order."""
-    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+def offsets(blocks: DataFrame) -> DataFrame:
+    """The bit at which each block would begin were the payloads one stream."""
     size = (F.col("end") - F.col("start")) * F.col("bits")
-    return blocks.withColumn("bit_offset", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    return _in_order(blocks, size).withColumnRenamed("before", "bit_offset").drop("expected")
+
+
+def _wrong() -> Column:
+    return (F.col("start") != F.col("expected")) | (F.col("start") >= F.col("end"))
 
 
 def problems(blocks: DataFrame) -> DataFrame:
     """Blocks that break the rules: begin at 0, no gap, no overlap, not empty. None is right."""
-    before = F.lag("end", 1, 0).over(Window.orderBy("start"))
-    return blocks.withColumn("expected", before).filter(
-        (F.col("start") != F.col("expected")) | (F.col("start") >= F.col("end"))).drop("expected")
+    return _in_order(blocks, F.lit(0)).filter(_wrong()).drop("before", "expected")
 
 
 def block_rules(blocks: DataFrame) -> DataFrame:
     """One row: how many blocks break the rules, where the first begins and the last ends."""
-    before = F.lag("end", 1, 0).over(Window.orderBy("start"))
-    wrong = (F.col("start") != F.col("expected")) | (F.col("start") >= F.col("end"))
-    return blocks.withColumn("expected", before).agg(
-        F.count(F.when(wrong, 1)).alias("n_problems"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
+    return _in_order(blocks.select("start", "end"), F.lit(0)).agg(
+        F.count(F.when(_wrong(), 1)).alias("n_problems"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
 
 
 def segment_sizes(blocks: DataFrame) -> DataFrame:
@@ -219,8 +263,9 @@ def statistics(blocks: DataFrame, element_bytes: int = 8) -> DataFrame:
 def runs(df: DataFrame, pos: str, value: str) -> DataFrame:
     """Run-length encoding: first position, length and value of each run of equal values.
 
-    Runs are found within stretches of positions and joined over their edges, so no task
-    sorts the whole column."""
+    Runs are found within stretches of positions. A run that goes on over the edges of
+    stretches is joined by one row per stretch, of its first and last values; nothing else
+    takes part in a total order."""
     rows = df.select(F.col(pos).alias("pos"), F.col(value).alias("value"),
                      F.expr(f"{pos} div {STRETCH}").alias("stretch"))
     own = Window.partitionBy("stretch").orderBy("pos")
@@ -228,17 +273,27 @@ def runs(df: DataFrame, pos: str, value: str) -> DataFrame:
     rows = rows.withColumn("run", F.sum(F.col("first").cast("int")).over(own))
     local = rows.groupBy("stretch", "run").agg(
         F.min("pos").alias("start"), F.count(F.lit(1)).alias("length"), F.first("value").alias("value"))
-    order = Window.orderBy("start")
-    local = local.withColumn("fresh", F.lag("start").over(order).isNull()
-                             | ~F.lag("value").over(order).eqNullSafe(F.col("value")))
-    local = local.withColumn("joined", F.sum(F.col("fresh").cast("int")).over(order))
-    return local.groupBy("joined").agg(
+    edges = local.groupBy("stretch").agg(
+        F.max("run").alias("runs"), F.min(F.struct("run", "value")).alias("head"), F.max(F.struct("run", "value")).alias("tail"))
+    order = Window.orderBy("stretch")
+    edges = edges.withColumn("goes_on", F.lag("stretch").over(order).isNotNull()
+                             & F.lag("tail.value").over(order).eqNullSafe(F.col("head.value")))
+    # where the last run of a stretch begins: here, or where that of the stretch before does
+    here = ~F.col("goes_on") | (F.col("runs") > 1)
+    edges = edges.withColumn("begins", F.max(F.when(here, F.struct("stretch", "runs"))).over(
+        order.rowsBetween(Window.unboundedPreceding, -1)))
+    local = local.join(edges.filter("goes_on").select("stretch", F.lit(1).alias("run"), "begins"), ["stretch", "run"], "left")
+    key = F.coalesce("begins", F.struct("stretch", F.col("run").alias("runs")))
+    return local.groupBy(key.alias("joined")).agg(
         F.min("start").alias("start"), F.sum("length").alias("length"), F.first("value").alias("value")).drop("joined")
 
 
 def expand(run_rows: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
-    """The column of its runs."""
-    return run_rows.select(F.explode(F.expr("sequence(start, start + length - 1)")).alias(pos), F.col("value").alias(value))
+    """The column of its runs. A run is cut at stretches first, so no array is longer."""
+    pieces = run_rows.select("start", (F.col("start") + F.col("length")).alias("end"), "value", F.explode(
+        F.expr(f"sequence(start div {STRETCH}, (start + length - 1) div {STRETCH})")).alias("s"))
+    return pieces.select(F.explode(F.expr(
+        f"sequence(greatest(start, s * {STRETCH}), least(end, (s + 1) * {STRETCH}) - 1)")).alias(pos), F.col("value").alias(value))
 
 
 def baseline_sizes(df: DataFrame, pos: str, value: str, size: int) -> DataFrame:

@@ -58,11 +58,12 @@ def pruned_positions(df: DataFrame, blocks: DataFrame, pos: str, value: str, siz
     return rows.filter(F.col(value).between(low, high)).select(pos)
 
 
-def linear_residuals(df: DataFrame, pos: str, value: str) -> DataFrame:
+def linear_residuals(df: DataFrame, pos: str, value: str, clamp: bool = False) -> DataFrame:
     """Per row of partitions in ``pid``: local index, least-squares line, exact residual.
 
     Sums are exact integers, each division is a single one in double precision, predictions
-    round half to even. A partition of one row, or any singular one, has slope 0."""
+    round half to even. A partition of one row, or any singular one, has slope 0. ``clamp`` is
+    for columns without negative values: a prediction below 0 counts as 0."""
     own = Window.partitionBy("pid")
     big = lambda e: F.sum(F.expr(f"cast({e} as decimal(38,0))")).over(own)
     rows = df.withColumn("i", F.col(pos) - F.min(pos).over(own)).withColumn("y", F.col(value).cast("long"))
@@ -75,7 +76,9 @@ def linear_residuals(df: DataFrame, pos: str, value: str) -> DataFrame:
         F.expr("cast(n * sxy - sx * sy as double)") / det.cast("double"))
     rows = rows.withColumn("slope", slope).withColumn(
         "intercept", F.expr("(cast(sy as double) - slope * cast(sx as double)) / cast(n as double)"))
-    return rows.withColumn("residual", F.expr("y - cast(rint(intercept + slope * i) as bigint)")).drop(
+    prediction = "cast(rint(intercept + slope * i) as bigint)"
+    prediction = f"greatest({prediction}, 0L)" if clamp else prediction
+    return rows.withColumn("residual", F.expr(f"y - {prediction}")).drop(
         "sx", "sy", "sxx", "sxy")
 
 

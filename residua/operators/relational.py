@@ -92,6 +92,15 @@ def direct_address(df: DataFrame, key: str, base: int, slots: int) -> DataFrame:
     return df.withColumn("slot", F.pmod(F.col(key) - F.lit(base), F.lit(slots)))
 
 
+def direct_probe(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, base: int, slots: int,
+                 payload: Sequence[str] = ()) -> DataFrame:
+    """Inner join through a table of ``slots`` cells, in which keys of one cell are told apart.
+    Rows meet by cell and key, so a cell that many keys share is no larger group."""
+    cells = direct_address(dim.select(F.col(dim_key).alias("_key"), *payload), "_key", base, slots)
+    rows = direct_address(fact, fact_key, base, slots).withColumnRenamed("slot", "_slot")
+    return rows.join(cells, (F.col("_slot") == F.col("slot")) & (F.col(fact_key) == F.col("_key"))).drop("_key", "_slot", "slot")
+
+
 def hashes(df: DataFrame, key: str) -> DataFrame:
     """Spark's two hash functions of a key: Murmur3 (32 bits) and xxHash64."""
     return df.withColumns({"murmur3": F.hash(key), "xx64": F.xxhash64(key)})
@@ -124,6 +133,17 @@ def regression_sums(df: DataFrame, pid: str, x: str, y: str) -> DataFrame:
     )
 
 
+#: Sums of i, i^2 and so on for i from 0 to n - 1, in whole numbers.
+POWER_SUMS = {k: f"({e}) div {d}" for k, d, e in (
+    (1, 2, "n * (n - 1)"),
+    (2, 6, "n * (n - 1) * (2 * n - 1)"),
+    (3, 4, "n * n * (n - 1) * (n - 1)"),
+    (4, 30, "n * (n - 1) * (2 * n - 1) * (3 * n * n - 3 * n - 1)"),
+    (5, 12, "n * n * (n - 1) * (n - 1) * (2 * n * n - 2 * n - 1)"),
+    (6, 42, "cast(n * (n - 1) * (2 * n - 1) as decimal(38,0)) * (3 * n * n * n * n - 6 * n * n * n + 3 * n + 1)"),
+)}
+
+
 def mismatches(left: DataFrame, right: DataFrame, pos: str, value: str) -> DataFrame:
     """How many positions hold different values or occur on one side only."""
     a = left.select(pos, F.col(value).alias("_a"))

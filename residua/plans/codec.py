@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..operators import access as A
 from ..operators import codec as C
 from ..operators import partition as P
-from ..sources import ssb
+from ..sources import files, ssb
+from ..sources.scratch import folder
 
 QUERIES, SQL = {}, {}
 CENTS = "SELECT o_orderkey AS pos, CAST(round(o_totalprice * 100) AS BIGINT) AS value FROM orders"
@@ -32,10 +33,28 @@ def cents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey as pos", "cast(round(o_totalprice * 100) as bigint) as value")
 
 
+def order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ssb.table(spark, sf_dir, "orders").selectExpr("o_orderkey as pos", "o_custkey as value")
+
+
 def event_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ssb.table(spark, sf_dir, "events").selectExpr("event_id as pos", "user_id as value")
 
 
+_saved: dict[tuple, str] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, rows, config: C.Config) -> DataFrame:
+    """Encoded blocks of a column, written once per session as a column store would hold them."""
+    key = spark.sparkContext.applicationId, sf_dir, rows.__name__, config
+    if key not in _saved:
+        path = f"{folder(spark)}/blocks"
+        column = rows(spark, sf_dir)
+        files.save_encoded(C.encode(column, "pos", "value", config), path, column.schema["value"].dataType.simpleString(), config)
+        _saved[key] = path
+    return files.load_encoded(spark, _saved[key])
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions in disorder, with repeats, some beyond the end."""
     return ssb.table(spark, sf_dir, "events").selectExpr("event_id as ordinal", "event_id * 7919 % 200000 as pos")
@@ -76,7 +95,13 @@ def zone_map_rows(spark, sf_dir):
 
 @query("SELECT o_orderkey AS pos FROM orders WHERE o_custkey BETWEEN 10 AND 20")
 def pushdown_positions(spark, sf_dir):
-    rows = ssb.table(spark, sf_dir, "orders").selectExpr("o_orderkey as pos", "o_custkey as value")
+    blocks = saved(spark, sf_dir, order_customers, C.Config.fixed(64))
+    return C.decode_where(blocks, 10, 20).select("pos")
+
+
+@query("SELECT o_orderkey AS pos FROM orders WHERE o_custkey BETWEEN 10 AND 20")
+def pushdown_raw_positions(spark, sf_dir):
+    rows = order_customers(spark, sf_dir)
     return P.pruned_positions(rows, P.bounds(rows, "pos", "value", 8), "pos", "value", 8, 10, 20)
 
 
@@ -124,6 +149,17 @@ def breakpoints(spark, sf_dir):
     return P.breakpoints(P.residual_bits(rows, 2), 1).select("pid", "bits", "is_break", "segment")
 
 
+_SPIKES = "SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 256 > 250 THEN 1000 + o_custkey % 9 ELSE 0 END AS value FROM orders"
+
+
+@query(f"WITH {_FIT.replace(CENTS, _SPIKES).replace('value - CAST(round_even(intercept + slope * i, 0) AS BIGINT)', 'value - greatest(CAST(round_even(intercept + slope * i, 0) AS BIGINT), 0)')} SELECT pid, min(residual) AS lo, max(residual) AS hi FROM r GROUP BY pid")
+def clamped_residual_range(spark, sf_dir):
+    rows = ssb.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as pos", "if(o_orderkey % 256 > 250, 1000 + o_custkey % 9, 0) as value")
+    rows = P.linear_residuals(P.with_pid(rows, "pos", 256), "pos", "value", clamp=True)
+    return P.residual_bits(rows).select("pid", "lo", "hi")
+
+
 _PAIR = f"""
 base AS (SELECT pos // 256 AS pid, pos, value FROM ({CENTS})),
 g AS (SELECT 2 * pid AS gid, * FROM base UNION ALL SELECT 2 * pid + 1, * FROM base
@@ -204,7 +240,9 @@ for _name, _config in {
     "high_compression": C.Config.high_compression(), "greedy": C.Config(strategy="GREEDY"), "variance_cost": C.Config(strategy="VARIANCE_COST"),
     "linear": C.Config(strategy="FIXED", model="LINEAR"), "poly2": C.Config(strategy="FIXED", model="POLY2"),
     "poly3": C.Config(strategy="FIXED", model="POLY3"), "frame": C.Config(strategy="FIXED", model="FOR"),
-    "direct": C.Config(strategy="FIXED", model="DIRECT"),
+    "direct": C.Config(strategy="FIXED", model="DIRECT"), "null_suppression": C.Config(strategy="FIXED", model="NS"),
+    "delta": C.Config(strategy="FIXED", model="DELTA"), "runs": C.Config(strategy="FIXED", model="RLE"),
+    "planned": C.Config(strategy="FIXED", model="PLANNED"),
 }.items():
     _roundtrip(_name, _config)
 
@@ -245,10 +283,81 @@ def codec_models_chosen(spark, sf_dir):
     return blocks.groupBy("model").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.col("end") - F.col("start")).alias("n_rows"))
 
 
-@query("SELECT n AS n_rows, count(*) AS n_blocks FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey // 2048) WHERE n = 2048 GROUP BY n")
+@query("SELECT n AS n_rows, count(*) AS n_blocks FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey // 2048) GROUP BY n")
 def codec_segment_sizes(spark, sf_dir):
     blocks = C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(2048))
-    return C.segment_sizes(blocks).filter("n_rows = 2048")
+    return C.segment_sizes(blocks)
+
+
+# --- what the codec chose
+
+_WIDE = "CASE WHEN {0} = 0 THEN 0 ELSE length(bin({0})) END"
+_FRAMES = f"""b AS (SELECT pos // 512 AS pid, count(*) AS n, max(value) AS hi, min(value) AS lo FROM c GROUP BY 1),
+d AS (SELECT pid, n, CASE WHEN hi = lo THEN 'CONSTANT' ELSE 'FOR' END AS model, {_WIDE.format("(hi - lo)")} AS bits, lo AS base FROM b)"""
+_STAIRS = "SELECT o_orderkey AS pos, o_orderkey // 1500 * 1000 + CASE WHEN o_orderkey % 3000 < 1500 THEN 0 ELSE o_custkey % 90 END AS value FROM orders"
+
+
+def stairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of one value and stretches of noise in turn."""
+    return ssb.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as pos", "o_orderkey div 1500 * 1000 + if(o_orderkey % 3000 < 1500, 0, o_custkey % 90) as value")
+
+
+@query(f"WITH c AS ({_STAIRS}), {_FRAMES} SELECT pid, n, model, bits, base FROM d")
+def codec_frame_or_constant(spark, sf_dir):
+    blocks = C.encode(stairs(spark, sf_dir), "pos", "value", C.Config(strategy="FIXED", size=512, degree=0))
+    return blocks.select(F.expr("start div 512").alias("pid"), (F.col("end") - F.col("start")).alias("n"), "model",
+                         F.col("bits").cast("long").alias("bits"), "base")
+
+
+@query(f"""WITH c AS ({_STAIRS}), {_FRAMES} SELECT CAST(sum(n) * 8 AS BIGINT) AS raw_bytes,
+  CAST(sum((n * bits + 31) // 32 * 4) AS BIGINT) AS packed_bytes,
+  round(sum(n) * 8 / (sum((n * bits + 31) // 32 * 4) + 64 * count(*)), 9) AS ratio, count(*) AS n_blocks,
+  round(sum(n * bits) / sum(n), 9) AS mean_bits FROM d""")
+def codec_frame_statistics(spark, sf_dir):
+    blocks = C.encode(stairs(spark, sf_dir), "pos", "value", C.Config(strategy="FIXED", size=512, degree=0))
+    return C.statistics(blocks).withColumns({c: F.round(c, 9) for c in ("ratio", "mean_bits")})
+
+
+_SHAPES = "SELECT o_orderkey AS pos, CASE o_orderkey // 4096 % 3 WHEN 0 THEN o_orderkey * 50 + o_custkey % 7 WHEN 1 THEN o_custkey ELSE 17 END AS value FROM orders"
+
+
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, noise and constants in turn."""
+    return ssb.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as pos", "case o_orderkey div 4096 % 3 when 0 then o_orderkey * 50 + o_custkey % 7 when 1 then o_custkey else 17 end as value")
+
+
+@query(f"""WITH c AS ({_SHAPES}), s AS (SELECT *, pos // 512 AS pid, pos % 512 - CASE WHEN pos // 512 = 0 THEN (SELECT min(pos) FROM c) ELSE 0 END AS i FROM c),
+m AS (SELECT pid, count(*) AS n, max(value) AS hi, min(value) AS lo, regr_slope(value, i) AS k, regr_intercept(value, i) AS y FROM s GROUP BY pid),
+r AS (SELECT s.pid, max(value - round_even(y + k * i, 0)) - min(value - round_even(y + k * i, 0)) AS w FROM s JOIN m USING (pid) GROUP BY s.pid),
+z AS (SELECT pid, 8 + n * {_WIDE.format("(hi - lo)")} / 8 AS frame, 16 + n * {_WIDE.format("CAST(w AS BIGINT)")} / 8 AS line, hi = lo AS flat FROM m JOIN r USING (pid))
+SELECT pid, CASE WHEN flat THEN 'CONSTANT' WHEN line < 0.95 * frame THEN 'LINEAR' ELSE 'FOR' END AS model FROM z""")
+def codec_adaptive_choice(spark, sf_dir):
+    blocks = C.encode(shapes(spark, sf_dir), "pos", "value", C.Config.fixed(512))
+    return blocks.select(F.expr("start div 512").alias("pid"), "model")
+
+
+@query(f"""WITH s AS (SELECT *, pos // 512 AS pid FROM ({_STAIRS})),
+e AS (SELECT *, value - lag(value) OVER w AS d, CASE WHEN lag(value) OVER w IS DISTINCT FROM value THEN 1 ELSE 0 END AS f FROM s WINDOW w AS (PARTITION BY pid ORDER BY pos)),
+g AS (SELECT *, sum(f) OVER (PARTITION BY pid ORDER BY pos) AS run FROM e),
+l AS (SELECT pid, max(k) AS longest FROM (SELECT pid, run, count(*) AS k FROM g GROUP BY ALL) GROUP BY pid),
+z AS (SELECT pid, count(*) AS n, max(value) AS hi, min(value) AS lo, coalesce(max(d), 0) AS dhi, coalesce(min(d), 0) AS dlo, max(run) AS runs FROM g GROUP BY pid),
+k AS (SELECT pid, n * {_WIDE.format("hi")} AS ns, 64 + n * {_WIDE.format("(hi - lo)")} AS fr,
+  128 + (n - 1) * {_WIDE.format("(dhi - dlo)")} AS de, 128 + runs * ({_WIDE.format("(hi - lo)")} + {_WIDE.format("longest")}) AS rl FROM z JOIN l USING (pid))
+SELECT pid, CASE least(ns, fr, de, rl) WHEN ns THEN 'NS' WHEN fr THEN 'FOR' WHEN de THEN 'DELTA' ELSE 'RLE' END AS encoding FROM k""")
+def codec_planned_choice(spark, sf_dir):
+    blocks = C.encode(stairs(spark, sf_dir), "pos", "value", C.Config(strategy="FIXED", size=512, model="PLANNED"))
+    return blocks.select(F.expr("start div 512").alias("pid"), F.col("model").alias("encoding"))
+
+
+@query("SELECT name, n_rows, n_rows * 4 AS raw_bytes, true AS smaller FROM (SELECT unnest(['lo_custkey', 'lo_discount', 'lo_extendedprice', 'lo_orderdate', 'lo_partkey', 'lo_quantity', 'lo_revenue', 'lo_suppkey']) AS name), (SELECT count(*) AS n_rows FROM lineitem)")
+def codec_fact_sizes(spark, sf_dir):
+    from ..operators import store
+    from .ssb import FACT, encoded_fact
+
+    sizes = store.sizes(encoded_fact(spark, sf_dir), FACT)
+    return sizes.select("name", "n_rows", "raw_bytes", (F.col("packed_bytes") < F.col("raw_bytes")).alias("smaller"))
 
 
 # --- access by position
@@ -263,24 +372,24 @@ def access_many(spark, sf_dir):
 
 @query(_FETCH)
 def access_encoded(spark, sf_dir):
-    return A.fetch_encoded(C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(512)), requests(spark, sf_dir))
+    return A.fetch_encoded(saved(spark, sf_dir, cents, C.Config.fixed(512)), requests(spark, sf_dir))
 
 
 @query(f"{_FETCH} WHERE c.pos IS NOT NULL")
 def access_known_blocks(spark, sf_dir):
-    blocks = C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(512))
+    blocks = saved(spark, sf_dir, cents, C.Config.fixed(512))
     asked = A.find_block(blocks, requests(spark, sf_dir)).filter("pid is not null")
     return A.fetch_known(blocks, asked)
 
 
 @query(f"SELECT pos, value FROM ({CENTS}) WHERE pos >= 300 AND pos < 1100")
 def access_range(spark, sf_dir):
-    return A.fetch_range(C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(512)), 300, 1100)
+    return A.fetch_range(saved(spark, sf_dir, cents, C.Config.fixed(512)), 300, 1100)
 
 
 @query(f"SELECT ordinal, pos, CASE WHEN pos <= (SELECT max(o_orderkey) FROM orders) THEN pos // 512 END AS block FROM ({ASKED})")
 def access_find_block(spark, sf_dir):
-    blocks = C.encode(cents(spark, sf_dir), "pos", "value", C.Config.fixed(512))
+    blocks = saved(spark, sf_dir, cents, C.Config.fixed(512))
     starts = blocks.select("pid", F.expr("start div 512").alias("block"))
     return A.find_block(blocks, requests(spark, sf_dir)).join(starts, "pid", "left").select("ordinal", "pos", "block")
 

@@ -43,14 +43,19 @@ def string_charset(spark, sf_dir):
     return S.charset(_names(spark, sf_dir), "value")
 
 
-_DIGITS = f"(SELECT pos, substring(value, 10) AS s FROM ({NAMES}))"
+@query(f"""SELECT pos, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substring(value, 10), ''), lambda c: (ascii(c) - 48)::BIGINT)), lambda a, c: a * 16 + c) AS code FROM ({NAMES})""")
+def string_shift_codes(spark, sf_dir):
+    digits = S.StringConfig("Customer#", 48, 57, 4, 9)
+    return _names(spark, sf_dir).select("pos", S.encode_shift(F.col("value"), digits).alias("code"))
 
 
-@query(f"""WITH d AS (SELECT pos, substring(value, (SELECT length(value) FROM ({NAMES}) LIMIT 1) - 3) AS s FROM ({NAMES}))
-SELECT pos, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(s, ''), lambda c: (ascii(c) - 48)::BIGINT)), lambda a, c: a * 16 + c) AS code FROM d""")
-def string_shift_codes(spark, sf_dir):
-    rows = _names(spark, sf_dir).select("pos", F.expr("right(value, 4)").alias("s"))
-    return rows.select("pos", S.encode_shift(F.col("s"), S.StringConfig("", 48, 57, 4, 4)).alias("code"))
+@query(f"SELECT pos, CAST(substring(value, 10) AS BIGINT) AS code, value FROM ({NAMES})")
+def string_base_codes(spark, sf_dir):
+    rows = _names(spark, sf_dir).withColumn("digits", F.substring("value", 10, 9))
+    letters = S.alphabet(rows, "digits")
+    rows = rows.withColumn("code", S.encode_base(F.col("digits"), letters, 9))
+    back = S.decode_base(F.col("code"), F.octet_length("digits"), letters, 9)
+    return rows.select("pos", "code", F.concat(F.lit("Customer#"), back).alias("value"))
 
 
 @query("SELECT p_partkey AS pos, p_name AS value FROM part")
@@ -79,13 +84,38 @@ def string_codec_roundtrip(spark, sf_dir):
 
 @query(f"SELECT event_id AS ordinal, event_id * 7919 % 3000 AS pos, c_name AS value FROM events LEFT JOIN customer ON c_custkey = event_id * 7919 % 3000")
 def string_access(spark, sf_dir):
-    from ..operators.access import fetch_encoded
+    asked = ssb.table(spark, sf_dir, "events").selectExpr("event_id as ordinal", "event_id * 7919 % 3000 as pos")
+    return S.fetch_strings(*S.compress(_names(spark, sf_dir), "pos", "value"), asked)
+
+
+def _parts(spark, sf_dir):
+    return ssb.table(spark, sf_dir, "part").selectExpr("p_partkey as pos", "p_name as value")
+
 
-    codes, lengths, config = S.compress(_names(spark, sf_dir), "pos", "value")
+@query("SELECT p_partkey AS pos, p_name AS value FROM part")
+def string_codec_roundtrip_wide(spark, sf_dir):
+    return S.decompress(*S.compress(_parts(spark, sf_dir), "pos", "value"))
+
+
+@query("SELECT o_orderkey AS pos, o_orderpriority AS value FROM orders")
+def string_codec_roundtrip_128(spark, sf_dir):
+    rows = ssb.table(spark, sf_dir, "orders").selectExpr("o_orderkey as pos", "o_orderpriority as value")
+    return S.decompress(*S.compress(rows, "pos", "value"))
+
+
+@query("SELECT event_id AS ordinal, event_id * 7919 % 3000 AS pos, p_name AS value FROM events LEFT JOIN part ON p_partkey = event_id * 7919 % 3000")
+def string_access_wide(spark, sf_dir):
     asked = ssb.table(spark, sf_dir, "events").selectExpr("event_id as ordinal", "event_id * 7919 % 3000 as pos")
-    hit = fetch_encoded(codes, asked).withColumnRenamed("value", "code")
-    size = fetch_encoded(lengths, asked).select("ordinal", F.col("value").cast("int").alias("n"))
-    return hit.join(size, "ordinal").select("ordinal", "pos", S.decode_shift(F.col("code"), F.col("n"), config).alias("value"))
+    return S.fetch_strings(*S.compress(_parts(spark, sf_dir), "pos", "value"), asked)
+
+
+@query("SELECT p_partkey AS pos, rank() OVER (ORDER BY p_name) AS place FROM part")
+def string_wide_codes_keep_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = _parts(spark, sf_dir)
+    code = S.encode_wide(S.auto_configure(rows, "value"))("value").alias("code")
+    return rows.select("pos", code).select("pos", F.rank().over(Window.orderBy("code")).cast("long").alias("place"))
 
 
 @query("SELECT n_nationkey AS pos, substring(n_name, 1, 8) AS value FROM nation")
@@ -145,13 +175,85 @@ def analysis_entropy(spark, sf_dir):
     return N.entropy(event_users(spark, sf_dir), "value")
 
 
-@query()
+_SIZES = f"""SELECT count(*) AS n, CASE WHEN max(value) = min(value) THEN 0 ELSE length(bin(max(value) - min(value))) END AS w
+  FROM ({CENTS}) GROUP BY pos // 2048"""
+
+
+@query(f"SELECT CAST(sum(n * 8) AS BIGINT) AS raw_bytes, CAST(sum((n * w + 7) // 8 + 8) AS BIGINT) AS packed_bytes FROM ({_SIZES})")
 def analysis_estimate(spark, sf_dir):
     return N.estimate(cents(spark, sf_dir), "pos", "value", 2048)
 
 
+_ENDS = f"""(SELECT count(*) AS n, length(bin(max(value) - min(value))) AS frame_bits FROM ({CENTS})),
+  (SELECT CASE WHEN min(d) >= 0 THEN length(bin(max(d))) ELSE length(bin(max(abs(d)))) + 1 END AS delta_bits FROM {_STEP})"""
+
+
+@query(f"""SELECT n, n * 8 AS raw_bytes, frame_bits, 8 + n * frame_bits // 8 AS frame_bytes, delta_bits,
+  8 + n * delta_bits // 8 AS delta_bytes FROM {_ENDS}""")
+def analysis_limits(spark, sf_dir):
+    return N.limits(cents(spark, sf_dir), "pos", "value")
+
+
+@query("""WITH b AS (SELECT (user_id >> (8 * i)) & 255 AS byte FROM events, range(8) t(i)),
+c AS (SELECT count(*) AS n FROM b GROUP BY byte), e AS (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM c)
+SELECT round(e, 6) AS entropy, round(8 / e, 6) AS ratio FROM e""")
+def analysis_byte_entropy(spark, sf_dir):
+    return N.byte_entropy(event_users(spark, sf_dir), "value")
+
+
 # --- sources and sinks
 
+
+def _binary(spark, sf_dir, width: int) -> str:
+    """A folder with the order prices as two binary files, one with its count before it, as a
+    tool outside Spark would leave them."""
+    import numpy as np
+
+    rows = cents(spark, sf_dir).orderBy("pos").select("value").toPandas()["value"].to_numpy().astype(f"<u{width}")
+    path = f"{_shared(spark)}/binary{width}.bin"
+    half = len(rows) // 2
+    for name, data in (("a", rows[:half].tobytes()), ("b", (len(rows) - half).to_bytes(8, "little") + rows[half:].tobytes())):
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.bin")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(data)
+        out.close()
+    return path
+
+
+def _binary_source(name: str, width: int, kind: str) -> None:
+    def run(spark, sf_dir):
+        read = files.read_column(spark, _binary(spark, sf_dir, width), kind)
+        return read.select("pos", F.col("value").cast("long").alias("value"))
+
+    run.__name__ = name
+    query(f"SELECT row_number() OVER (ORDER BY pos) - 1 AS pos, value FROM ({CENTS})")(run)
+
+
+_binary_source("source_binary_uint32", 4, "uint32")
+_binary_source("source_binary_uint64", 8, "uint64")
+
+
+@query("SELECT 2 AS n_files, count(*) * 4 + 8 AS n_bytes, count(*) AS n_values, 'uint32' AS kind FROM orders")
+def source_dataset_info(spark, sf_dir):
+    return files.dataset_info(spark, _binary(spark, sf_dir, 4), "uint32")
+
+
+@query(CENTS)
+def source_text_to_parquet(spark, sf_dir):
+    path = _shared(spark)
+    rows = cents(spark, sf_dir).repartitionByRange(4, "pos").sortWithinPartitions("pos")
+    rows.select(F.col("value").cast("string")).write.text(f"{path}/text")
+    files.text_to_parquet(spark, f"{path}/text", f"{path}/typed", "int64")
+    return spark.read.parquet(f"{path}/typed")
+
+
+@query("SELECT 'residua blocks' AS magic, 2 AS version, 'bigint' AS kind, count(*) AS n_blocks FROM (SELECT 1 FROM orders GROUP BY o_orderkey // 512)")
+def source_header_facts(spark, sf_dir):
+    path = f"{_shared(spark)}/blocks"
+    files.load_or_encode(spark, path, cents(spark, sf_dir), "pos", "value", C.Config.fixed(512))
+    return spark.read.parquet(path).groupBy("magic", "version", "kind").agg(F.count(F.lit(1)).alias("n_blocks"))
+
 @query(CENTS)
 def source_text_integers(spark, sf_dir):
     path = f"{_shared(spark)}/text"
@@ -200,3 +302,25 @@ def _generated(name: str, make) -> None:
 
 for _name, _make in (("cosmos", files.cosmos), ("polylog", files.polylog), ("exponential", files.exponential), ("cubic", files.cubic)):
     _generated(_name, _make)
+
+_U = "((({0}) % 1000003 * 1103515245 + {1} * 12345679) % 2147483648 / 2147483648.0::DOUBLE)"
+_IN = "CAST({2} + floor(" + _U + " * ({3} - {2} + 1)) AS BIGINT)"
+
+
+@query(f"""WITH s AS (SELECT i AS s, CASE WHEN i % 2 = 0 THEN {_IN.format("i", 1, 50000, 250000)} ELSE {_IN.format("i", 2, 10000, 120000)} END AS rise,
+  {_IN.format("i", 3, 0, 50)} AS gap FROM range(60) t(i)),
+b AS (SELECT s, rise, coalesce(sum(rise + gap) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM s)
+SELECT p AS pos, CAST(base + round_even(rise * CASE WHEN s % 2 = 0 THEN (p % 500 / 499.0::DOUBLE) * (p % 500 / 499.0::DOUBLE) ELSE ln(p % 500 + 1) / ln(500) END, 0) AS BIGINT) AS value
+FROM range(30000) t(p) JOIN b ON s = p // 500""")
+def generator_polylog_values(spark, sf_dir):
+    return files.polylog(spark, 30_000)
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT i AS s, {_IN.format("i", 1, -50000000, 50000000)} AS step, {_U.format("i", 2)} * 2 - 1 AS s0, {_U.format("i", 3)} * 2 - 1 AS s1 FROM range(60) t(i)),
+w AS (SELECT 0::BIGINT AS s, 1000000000::BIGINT AS y0, least(greatest(1000000000 + step, 0), 2000000000)::BIGINT AS y1 FROM d WHERE s = 0
+  UNION ALL SELECT w.s + 1, w.y1, least(greatest(w.y1 + d.step, 0), 2000000000)::BIGINT FROM w JOIN d ON d.s = w.s + 1),
+p AS (SELECT p AS pos, w.*, s0, s1, p % 500 / 499.0::DOUBLE AS u FROM range(30000) t(p) JOIN w ON w.s = p // 500 JOIN d ON d.s = w.s)
+SELECT pos, CAST(least(greatest(round_even((2 * u * u * u - 3 * u * u + 1) * y0 + (u * u * u - 2 * u * u + u) * (s0 * 12500000.0::DOUBLE)
+  + (-2 * u * u * u + 3 * u * u) * y1 + (u * u * u - u * u) * (s1 * 12500000.0::DOUBLE), 0), 0), 2000000000) AS BIGINT) AS value FROM p""")
+def generator_cubic_values(spark, sf_dir):
+    return files.cubic(spark, 30_000, block=500)

@@ -97,10 +97,10 @@ def computed_projection(spark, sf_dir):
         "lo_revenue - lo_supplycost as profit")
 
 
-@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 97 = 5")
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def gather_rows(spark, sf_dir):
-    orders = ssb.table(spark, sf_dir, "orders")
-    return R.gather(orders, orders.filter("o_orderkey % 97 = 5"), "o_orderkey").select(
+    wanted = R.compare(_lines(spark, sf_dir), "l_returnflag", "=", "R").withColumnRenamed("l_orderkey", "o_orderkey")
+    return R.gather(ssb.table(spark, sf_dir, "orders"), wanted, "o_orderkey").select(
         "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
@@ -111,17 +111,17 @@ def scatter_rows(spark, sf_dir):
 
 
 @query("""SELECT lo_linenumber, lo_partkey, lo_suppkey, p_category FROM lineorder JOIN ssb_part ON lo_partkey = p_partkey
-  WHERE p_mfgr = 'MFGR#3' AND lo_quantity = 11""", star=True)
+  WHERE p_mfgr = 'MFGR#3'""", star=True)
 def join_probe_payload(spark, sf_dir):
-    fact = ssb.lineorder(spark, sf_dir, cost=False).filter("lo_quantity = 11")
+    fact = ssb.lineorder(spark, sf_dir, cost=False)
     return R.probe(fact, ssb.part(spark, sf_dir), "lo_partkey", "p_partkey", ["p_category"], "p_mfgr = 'MFGR#3'").select(
         "lo_linenumber", "lo_partkey", "lo_suppkey", "p_category")
 
 
 @query("""SELECT lo_linenumber, lo_partkey, lo_suppkey FROM lineorder WHERE lo_suppkey IN
-  (SELECT s_suppkey FROM ssb_supplier WHERE s_region = 'EUROPE') AND lo_quantity = 12""", star=True)
+  (SELECT s_suppkey FROM ssb_supplier WHERE s_region = 'EUROPE')""", star=True)
 def join_membership(spark, sf_dir):
-    fact = ssb.lineorder(spark, sf_dir, cost=False).filter("lo_quantity = 12")
+    fact = ssb.lineorder(spark, sf_dir, cost=False)
     return R.member(fact, ssb.supplier(spark, sf_dir), "lo_suppkey", "s_suppkey", "s_region = 'EUROPE'").select(
         "lo_linenumber", "lo_partkey", "lo_suppkey")
 
@@ -154,6 +154,41 @@ def join_direct_address(spark, sf_dir):
     return R.direct_address(ssb.table(spark, sf_dir, "customer"), "c_custkey", 7, 100).select("c_custkey", "slot")
 
 
+@query("""SELECT p_category, count(*) AS n_rows, CAST(sum(lo_revenue) AS BIGINT) AS total FROM lineorder
+  JOIN ssb_part ON lo_partkey = p_partkey GROUP BY 1""", star=True)
+def join_direct_address_probe(spark, sf_dir):
+    fact = ssb.lineorder(spark, sf_dir, cost=False)
+    rows = R.direct_probe(fact, ssb.part(spark, sf_dir), "lo_partkey", "p_partkey", 1, 1024, ["p_category"])
+    return rows.groupBy("p_category").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("lo_revenue").alias("total"))
+
+
+@query("""SELECT c_nation, d_year, CAST(sum(lo_revenue) AS BIGINT) AS total FROM lineorder JOIN ssb_customer ON lo_custkey = c_custkey
+  JOIN ssb_supplier ON lo_suppkey = s_suppkey JOIN ssb_part ON lo_partkey = p_partkey JOIN ssb_date ON lo_orderdate = d_datekey
+  WHERE s_region = 'ASIA' AND p_mfgr = 'MFGR#2' GROUP BY ALL""", star=True)
+def join_named_dimensions(spark, sf_dir):
+    fact = ssb.with_supplier(ssb.lineorder(spark, sf_dir, cost=False), ssb.supplier(spark, sf_dir), "s_region = 'ASIA'")
+    fact = ssb.with_part(fact, ssb.part(spark, sf_dir), "p_mfgr = 'MFGR#2'")
+    fact = ssb.with_customer(fact, ssb.customer(spark, sf_dir), payload=["c_nation"])
+    return ssb.with_date_parts(fact).groupBy("c_nation", "d_year").agg(F.sum("lo_revenue").alias("total"))
+
+
+@query("""SELECT s_nation, CAST(sum(lo_revenue) AS BIGINT) AS total, count(*) AS n_rows FROM lineorder
+  JOIN ssb_supplier ON lo_suppkey = s_suppkey WHERE lo_orderdate BETWEEN 19960101 AND 19961231 GROUP BY 1""", star=True)
+def join_fused_decode_probe(spark, sf_dir):
+    from ..operators import store
+    from .ssb import encoded_fact
+
+    blocks = encoded_fact(spark, sf_dir)
+    fact = store.scan(blocks, ["lo_suppkey", "lo_revenue"], {"lo_orderdate": (19960101, 19961231)})
+    return R.group_sums(R.probe(fact, ssb.supplier(spark, sf_dir), "lo_suppkey", "s_suppkey", ["s_nation"]), ["s_nation"], "lo_revenue")
+
+
+@query("""SELECT d_datekey, d_year, d_yearmonthnum, d_weeknuminyear FROM ssb_date""", star=True)
+def join_date_cache(spark, sf_dir):
+    keys = ssb.orders_with_dates(spark, sf_dir).select("lo_orderdate").distinct()
+    return ssb.with_date_parts(keys).selectExpr("cast(lo_orderdate as bigint) as d_datekey", *ssb.DATE_PARTS)
+
+
 @query("SELECT count(*) AS n_rows, CAST(sum(lo_orderdate // 10000) AS BIGINT) AS year_sum FROM lineorder", star=True)
 def join_date_arithmetic(spark, sf_dir):
     return ssb.lineorder(spark, sf_dir, cost=False).selectExpr("lo_orderdate div 10000 as y").agg(
@@ -216,6 +251,14 @@ def agg_regression_sums(spark, sf_dir):
     return R.regression_sums(rows, "pid", "x", "y")
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM orders GROUP BY o_orderkey // 512)
+SELECT n, """ + ", ".join(f"(SELECT CAST(sum({' * '.join(['CAST(i AS HUGEINT)'] * k)}) AS BIGINT) FROM range(n) t(i)) AS s{k}" for k in range(1, 7)) + """
+FROM n GROUP BY n""")
+def agg_power_sums(spark, sf_dir):
+    sizes = ssb.table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 512")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("n").distinct().select("n", *(F.expr(e).cast("long").alias(f"s{k}") for k, e in R.POWER_SUMS.items()))
+
+
 @query("""SELECT event_id // 1024 AS pid, round(var_pop(user_id), 6) AS variance FROM events GROUP BY 1""")
 def agg_variance(spark, sf_dir):
     return ssb.table(spark, sf_dir, "events").groupBy(F.expr("event_id div 1024").alias("pid")).agg(
@@ -244,5 +287,10 @@ def _strategy(name: str, strategy: str) -> None:
 
 
 for _q in ("ssb_q1_1", "ssb_q2_1", "ssb_q3_1", "ssb_q4_3"):
-    for _s in ("scan", "staged"):
+    for _s in ("scan", "staged", "decoded", "bitpacked", "planned"):
         _strategy(_q, _s)
+
+from .ssb import QUERIES as _STAR  # noqa: E402
+
+for _q in _STAR:
+    _strategy(_q, "encoded")

@@ -6,11 +6,14 @@ in percent, dates are YYYYMMDD. The same views exist as DuckDB text for the orac
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import probe
+
 DATE_KEY = "year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate)"
 BRAND = "cast(substring(p_brand, 7) as bigint)"
 
@@ -25,6 +28,18 @@ def orders_with_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What a date key says, by arithmetic; the week needs the calendar.
+DATE_PARTS = {
+    "d_year": "lo_orderdate div 10000", "d_yearmonthnum": "lo_orderdate div 100",
+    "d_weeknuminyear": "(dayofyear(make_date(lo_orderdate div 10000, lo_orderdate div 100 % 100, lo_orderdate % 100)) - 1) div 7 + 1",
+}
+
+
+def with_date_parts(fact: DataFrame) -> DataFrame:
+    """The fact with the columns of the date dimension, which follow from the key alone."""
+    return fact.selectExpr("*", *(f"cast({e} as bigint) as {c}" for c, e in DATE_PARTS.items()))
+
+
 def lineorder(spark: SparkSession, sf_dir: str, cost: bool = True) -> DataFrame:
     """Lines with their orders. ``cost`` adds lo_supplycost, which needs part as well."""
     lines = table(spark, sf_dir, "lineitem").selectExpr(
@@ -44,11 +59,13 @@ def lineorder(spark: SparkSession, sf_dir: str, cost: bool = True) -> DataFrame:
 
 
 def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{BRAND} as bn")
+    """Part with the cost of supplying it, which the fact has in the standard schema."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", f"{BRAND} as bn", "p_retailprice")
     return rows.selectExpr(
         "p_partkey", "concat('MFGR#', (bn - 1) div 5 + 1) as p_mfgr",
         "concat('MFGR#', (bn - 1) div 5 + 1, (bn - 1) % 5 + 1) as p_category",
         "(bn - 1) * 40 + p_partkey % 40 as p_brand1",
+        "cast(round(p_retailprice * 100) as bigint) * 6 div 10 as lo_supplycost",
     )
 
 
@@ -77,6 +94,16 @@ def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def _joined(fact: DataFrame, dim: DataFrame, condition: str | None = None, payload: Sequence[str] = (), *, key: tuple[str, str]) -> DataFrame:
+    return probe(fact, dim, *key, payload, condition)
+
+
+#: The fact with one dimension: (fact, dimension, filter of the dimension, its columns to add).
+with_part = partial(_joined, key=("lo_partkey", "p_partkey"))
+with_supplier = partial(_joined, key=("lo_suppkey", "s_suppkey"))
+with_customer = partial(_joined, key=("lo_custkey", "c_custkey"))
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
     """Temporary views for use from SQL."""
     for name, rows in (

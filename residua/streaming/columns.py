@@ -16,7 +16,8 @@ def encode_stream(stream: DataFrame, pos: str, value: str, path: str, checkpoint
     block is there once. Within a batch the positions must be dense from a multiple of the
     partition size on, as files of a column written in order are."""
     def one(batch: DataFrame, number: int) -> None:
-        encode(batch, pos, value, config).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first = batch.agg(F.min(pos)).first()[0] or 0
+        encode(batch, pos, value, config, first).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
