@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column
+from .common import column, packed
 
 # Fixed value: the piece pattern of the byte-level vocabulary.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -181,7 +181,7 @@ def encode_decode(
     """
     rows = docs.select(
         column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"),
-        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
+        packed(carry).alias("carried"),
     )
     schema = T.StructType([
         rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()),

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,10 +48,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def packed(names: list[str] | tuple[str, ...]) -> Column:
+    """Some columns as one, whatever their names; a struct needs a field at least."""
+    return F.struct(*map(column, names)) if names else F.struct(F.lit(0).alias("_"))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send less at once to Python workers than Spark does where nobody set a number."""
     if spark.conf.get(BATCH_BYTES) == "67108864b":
-        spark.conf.set(BATCH_BYTES, "8m")
+        spark.conf.set(BATCH_BYTES, "2m")
+
+
+def cleaned(write: Callable) -> Callable:
+    """Let Spark drop the shuffles behind a table as soon as it is written. Of the arguments
+    the first DataFrame names the session."""
+    @wraps(write)
+    def run(*args):
+        conf = next(x for x in args if isinstance(x, DataFrame)).sparkSession.conf
+        before = conf.get(CLEANUP)
+        conf.set(CLEANUP, "true")
+        try:
+            return write(*args)
+        finally:
+            conf.set(CLEANUP, before)
+
+    return run
 
 
 class Scratch:
@@ -69,13 +92,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage, computes the rows once."""
         path = self.path(name)
-        # the shuffles behind a table are of no use once it is written
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(CLEANUP, before)
+        cleaned(lambda df: df.write.parquet(path))(df)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._residua_path = path
         return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, SPACE, Scratch, ascii_lower, column
+from .common import LAST_ID, SPACE, Scratch, ascii_lower, cleaned, column, packed
 
 HASH = ["h1", "h2"]
 
@@ -23,6 +23,7 @@ class SortedRuns:
         self.buckets = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, str]]] = [[]]
 
+    @cleaned
     def _write(self, df: DataFrame, name: str) -> tuple[str, str]:
         path = self.scratch.path(name)
         table = path[len(self.scratch.root) - 32:].replace("/", "_").replace("-", "_")
@@ -105,7 +106,7 @@ def line_dedup(
         column(id_col).alias("doc_id"),
         F.coalesce(column(id_col).cast("long"), F.lit(LAST_ID)).alias("sid"),
         text.alias("text"), F.xxhash64(text).alias("tk"),
-        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
+        packed(carry).alias("carried"),
     )
     key = ascii_lower(F.btrim(F.col("line"), F.lit(SPACE)))
     lines = scratch.keep(
@@ -121,19 +122,21 @@ def line_dedup(
     ).first()["c"] or []
     cuts = sorted(set(cuts))
     runs = SortedRuns(scratch, fanout)
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = lines
-        if low is not None:
-            batch = batch.filter(F.col("sid") > low)
-        if high is not None:
-            batch = batch.filter(F.col("sid") <= high)
-        keys = batch.groupBy(*HASH).agg(F.min("sid").alias("sid"))
-        runs.add(runs.unseen(keys))
-
-    gone = lines.join(runs.holders(), [*HASH, "sid"], "left_anti")
-    gone = gone.groupBy("sid", "tk").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    gone = scratch.keep(gone, "gone")
-    runs.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            batch = lines
+            if low is not None:
+                batch = batch.filter(F.col("sid") > low)
+            if high is not None:
+                batch = batch.filter(F.col("sid") <= high)
+            keys = batch.groupBy(*HASH).agg(F.min("sid").alias("sid"))
+            runs.add(runs.unseen(keys))
+
+        gone = lines.join(runs.holders(), [*HASH, "sid"], "left_anti")
+        gone = gone.groupBy("sid", "tk").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+        gone = scratch.keep(gone, "gone")
+    finally:
+        runs.close()
     scratch.drop(lines)
 
     docs = base.withColumn("lines", F.split("text", "\n"))

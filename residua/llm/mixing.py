@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, column, ranked
+from .common import WORD, Scratch, column, packed, ranked
 
 BLANKS = r"[\x20\x09-\x0D]*"
 
@@ -137,7 +137,7 @@ def mix_sources(
         F.xxhash64(text).alias("tk"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), column(id_col)).alias("key"),
-        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
+        packed(carry).alias("carried"),
     )
     rows = ranked(scratch, rows, ["key", "doc_id", "tk", "size"], "start", by="source", size="size")
     rows = scratch.keep(rows.drop("key", "tk"), "placed")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, ranked
+from .common import Scratch, column, packed, ranked
 
 
 def interleaved_shards(
@@ -39,7 +39,7 @@ def interleaved_shards(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(F.lit(seed), column(id_col)).alias("key"),
-        F.struct(F.lit(0).alias("_"), *(column(c) for c in carry)).alias("carried"),
+        packed(carry).alias("carried"),
     )
     rows = ranked(scratch, rows, ["key", "doc_id", "text_crc32", "size"], "r", by="source")
     sums = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
