@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import Scratch, column
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -66,32 +66,43 @@ VOTES = ("form", "gazetteer", "context", "edges")
 FEATURES = tuple(Feature(v, 3) for v in VOTES) + (Feature("length", 4),)
 
 
-def _found(text: Column, pattern: str) -> Column:
+def _running(values: Column, first: Column) -> Column:
+    """Sums of the values before each one, from ``first`` on. Each step copies the sums so far."""
+    begin = F.struct(first.alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(values, begin, lambda acc, x: F.struct(
+        (acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums of the values before each one. They are summed in as many parts as each has
+    values, so n values cost about n * sqrt(n) copies, not n * n."""
+    step = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / step).cast("int")), lambda k: F.slice(lengths, k * step + 1, step))
+    sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+    both = F.arrays_zip(parts.alias("p"), _running(sums, F.lit(0)).alias("at"))
+    return F.flatten(F.transform(both, lambda z: _running(z["p"], z["at"])))
+
+
+def _found(gaps: Column, hits: Column) -> Column:
     """Matches with code point offsets and what stands around each, in one array.
 
     The text between matches comes from split() with the same pattern, so offsets are sums
-    of lengths; nothing is searched twice from the start.
-    """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr(
-        "cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)"
-    )
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(
-            start.alias("start"), end.alias("end"), x["hit"].alias("value"),
+    of lengths; nothing is searched twice from the start."""
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.length(g) + F.length(h))
+    spans = F.transform(
+        F.arrays_zip(
+            F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"),
+            F.slice(gaps, F.lit(2), F.size(hits)).alias("after"), _starts(lengths).alias("at"),
+        ),
+        lambda x: F.struct(
+            (x["at"] + F.length(x["gap"])).alias("start"),
+            (x["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"),
             F.right(x["gap"], F.lit(40)).alias("before"), F.left(x["after"], F.lit(8)).alias("after"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.arrays_zip(
-        F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"),
-        F.slice(gaps, F.lit(2), F.size(hits)).alias("after"),
+        ),
     )
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(F.size(hits) > 0, spans).otherwise(F.expr(
+        "cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)"))
 
 
 def _digits(value: Column) -> Column:
@@ -167,16 +178,16 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and, per kind, the spans of the base patterns and the loose candidates."""
     text = F.coalesce(column(text_col), F.lit(""))
     out = docs.select(column(id_col).alias("doc_id"), text.alias("text"))
-    none = F.expr(
-        "cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)"
-    )
-    columns = {}
+    none = F.expr("cast(array() as array<string>)")
+    pieces, columns = [], []
     for kind in KINDS:
         worth = F.col("text").rlike(NEEDS[kind])
-        base = F.when(worth, _found(F.col("text"), BASE[kind])).otherwise(none)
-        columns[kind] = F.filter(base, _is_valid(kind))
-        columns[f"{kind}_maybe"] = F.when(worth, _found(F.col("text"), LOOSE[kind])).otherwise(none)
-    return out.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+        for name, pattern in ((kind, BASE[kind]), (f"{kind}_maybe", LOOSE[kind])):
+            pieces.append(F.when(worth, F.split("text", pattern, -1)).otherwise(none).alias(f"{name}_gaps"))
+            pieces.append(F.when(worth, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_hits"))
+            found = _found(F.col(f"{name}_gaps"), F.col(f"{name}_hits"))
+            columns.append((F.filter(found, _is_valid(kind)) if name == kind else found).alias(name))
+    return out.select("doc_id", *pieces).select("doc_id", *columns)
 
 
 def _candidates(spans: DataFrame) -> DataFrame:
@@ -251,10 +262,12 @@ def find_personal_data(
 ) -> DataFrame:
     """Spans of personal data in each whole text: the base patterns' and the classifier's.
 
+    One pass over the texts writes the candidates, which are few; the rest reads these.
     Candidates are the base patterns' matches and those of looser patterns (obfuscated
     addresses, national phone numbers, cards with other separators, long network addresses).
     Four labelers vote on each: its form, a gazetteer (top domains, dial codes, issuers), the
-    words before it, and its edges. EM over the counts of vote patterns in all documents
+    words before it (up to 40 characters back to the match before it), and its edges (which
+    look at most 8 characters behind it). EM over the counts of vote patterns in all documents
     rates them; the posteriors train a logistic span classifier on votes and length, which
     decides over the loose candidates. Base spans stay whatever it says. Every document is
     handled within its own row: nothing is shuffled but the pattern counts.
@@ -264,7 +277,7 @@ def find_personal_data(
 
     Returns doc_id, spans: array of (start, ord, end, kind, base) by start, then kind.
     """
-    found = _candidates(_spans(docs, id_col, text_col))
+    found = Scratch(spark, "personal-data").keep(_candidates(_spans(docs, id_col, text_col)), "candidates")
     traits = [f.name for f in FEATURES]
     counts = (
         found.select(F.explode("found").alias("x")).select("x.kind", *(f"x.{t}" for t in traits))
