@@ -70,6 +70,24 @@ def test_last_stage_is_lossless(stages):
     assert len(rows) == stages[4].count() and all(r.lossless for r in rows)
 
 
+def test_run_is_the_stages_in_turn(spark, sf_dir, stages):
+    out = P.run(spark, sf_dir)
+    assert out.columns == stages[5].columns
+    plain = lambda frame: sorted((r.doc_id, r.source or "", r.n_tokens, bytes(r.ids), r.lossless) for r in frame.collect())
+    assert plain(out) == plain(stages[5])
+
+
+def test_columns_with_names_of_the_stages_stay(spark, tmp_path):
+    rows = [(i, f"Some words of the text number {i} that is and was in the house.\nline {i} of it", "a", i, "x", 0.1, 7) for i in range(30)]
+    schema = "doc_id long, text string, source string, n_chars long, row string, score double, _row int"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for _, stage in P.STAGES[:-1]:
+        docs = Scratch(spark, "names").keep(stage(spark, docs, ""), "stage")
+        assert docs.columns == schema.replace(",", "").split()[::2] and docs.count() > 0
+        assert {(r.row, r.score, r._row) for r in docs.collect()} == {("x", 0.1, 7)}
+
+
 def test_rows_with_the_same_or_no_identifier(spark, tmp_path):
     text = " ".join(f"word{i}" for i in range(40))
     near = text.replace("word39", "changed")
