@@ -4,10 +4,12 @@ A position that the column does not have gives null, never another row's value."
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .codec import STRETCH, decode
+from .codec import STRETCH, decode, decode_where
 
 
 def fetch(column: DataFrame, requests: DataFrame, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -62,6 +64,41 @@ def two_stage(table: DataFrame, condition: Column | str, pos: str, columns: list
     return table.select(pos, *columns).join(spots, pos, "left_semi")
 
 
+@dataclass(frozen=True)
+class EncodedColumn:
+    """An encoded column as something to look things up in. Requests meet the bounds of its
+    blocks, which hold no payload; blocks are decoded only where something is asked of them."""
+
+    blocks: DataFrame
+    kind: str = "bigint"
+
+    @property
+    def bounds(self) -> DataFrame:
+        return self.blocks.select("pid", "start", "end", "vmin", "vmax")
+
+    def at(self, requests: DataFrame) -> DataFrame:
+        """(ordinal, pos, value) of requests (ordinal, pos)."""
+        asked = find_block(self.bounds, requests)
+        wanted = asked.filter("pid is not null").select("pid").distinct()
+        return fetch(decode(self.blocks.join(wanted, "pid", "left_semi"), self.kind), asked)
+
+    def between(self, low: object, high: object) -> DataFrame:
+        """(pos, value) of the values in [low, high]."""
+        return decode_where(self.blocks, low, high, self.kind)
+
+    def part(self, start: int, end: int) -> DataFrame:
+        """(pos, value) of the positions [start, end)."""
+        return fetch_range(self.blocks, start, end, self.kind)
+
+
+def fetch_columns(columns: dict[str, EncodedColumn], requests: DataFrame) -> DataFrame:
+    """Several columns at the requested positions: (ordinal, pos, one value per name)."""
+    out = requests.select("ordinal", "pos")
+    for name, column in columns.items():
+        out = out.join(column.at(requests).select("ordinal", F.col("value").alias(name)), "ordinal")
+    return out
+
+
 def lookup_table(requests: DataFrame, size: int) -> DataFrame:
     """Requests per fixed partition: what a gather has to touch."""
     return requests.groupBy(F.expr(f"pos div {size}").alias("pid")).agg(

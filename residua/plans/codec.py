@@ -412,3 +412,19 @@ def access_lookup_table(spark, sf_dir):
 @query(_FETCH)
 def access_sorted(spark, sf_dir):
     return A.fetch_sorted(cents(spark, sf_dir), requests(spark, sf_dir))
+
+
+@query(f"""SELECT ordinal, a.pos, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, o_custkey AS customer
+  FROM ({ASKED}) a LEFT JOIN orders ON a.pos = o_orderkey""")
+def access_columns(spark, sf_dir):
+    columns = {
+        name: A.EncodedColumn(saved(spark, sf_dir, rows, C.Config.fixed(512)))
+        for name, rows in (("cents", cents), ("customer", order_customers))
+    }
+    return A.fetch_columns(columns, requests(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS pos, o_custkey AS value FROM orders WHERE o_custkey BETWEEN 30 AND 40 AND o_orderkey >= 200 AND o_orderkey < 1200")
+def access_part_and_range(spark, sf_dir):
+    column = A.EncodedColumn(saved(spark, sf_dir, order_customers, C.Config.fixed(64)))
+    return column.between(30, 40).join(column.part(200, 1200).select("pos"), "pos", "left_semi")

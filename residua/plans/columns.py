@@ -207,7 +207,6 @@ def analysis_byte_entropy(spark, sf_dir):
 def _binary(spark, sf_dir, width: int) -> str:
     """A folder with the order prices as two binary files, one with its count before it, as a
     tool outside Spark would leave them."""
-
     rows = cents(spark, sf_dir).orderBy("pos").select("value").toPandas()["value"].to_numpy().astype(f"<u{width}")
     path = f"{_shared(spark)}/binary{width}.bin"
     half = len(rows) // 2
