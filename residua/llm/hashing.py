@@ -66,7 +66,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 16) -> list[tuple[int, int]]:
     """Stretches of texts of about ``most`` bytes together, one text at least."""
     out, at, size = [], 0, 0
     for i, t in enumerate(texts):

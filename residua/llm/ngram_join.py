@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import batch_of, gathered, grouped
 from .common import Scratch, column
 from .graph import components
 from .hashing import U, mix, shingle_sets, slices
 
 SETS = "id long, n long, d long, e long"
 #: Signatures held in memory before those that repeat among them are combined.
-HELD = 1 << 19
+HELD = 1 << 17
 
 
 class Bands:
@@ -141,14 +142,10 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum().astype(np.int64)), int(mix(s).sum().astype(np.int64))
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> list[bytes]:
+def _texts(batch: pa.RecordBatch | pa.Table, at: int | str) -> list[bytes]:
     return batch.column(at).cast(pa.binary()).to_pylist()
 
 
-def _batch(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names.split())
-
-
 def _sets(width: int):
     """Size and digests of each document's set."""
 
@@ -160,7 +157,7 @@ def _sets(width: int):
                 for i, s in enumerate(shingle_sets(texts[at:end], width), at):
                     if len(s):
                         found[:, i] = len(s), *_digests(s)
-            yield _batch("id n d e", batch.column(0), *found)
+            yield batch_of("id n d e", batch.column(0), *found)
 
     return run
 
@@ -198,12 +195,12 @@ def _runs(token: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
     token, owner = token[order], owner[order]
     first = np.append(True, token[1:] != token[:-1])
     starts = np.flatnonzero(first)
-    yield _batch("key a b", token[starts].astype(np.int64), owner[starts], pa.nulls(len(starts), pa.int64()))
+    yield batch_of("key a b", token[starts].astype(np.int64), owner[starts], pa.nulls(len(starts), pa.int64()))
     rest = ~first
     rest &= (center := np.repeat(owner[starts], np.diff(np.append(starts, len(token))))) != owner
     if rest.any():
         a, b = np.unique(np.stack([center[rest], owner[rest]]), axis=1)
-        yield _batch("key a b", mix(b.astype(U)).astype(np.int64), a, b)
+        yield batch_of("key a b", mix(b.astype(U)).astype(np.int64), a, b)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +212,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, a = (batch.column(i).to_numpy() for i in (0, 1))
         if not token.all():
             b = batch.column(2).filter(pa.array(~token)).to_numpy()
-            yield _batch("star a b", np.zeros(len(b), dtype=bool), a[~token], b)
+            yield batch_of("star a b", np.zeros(len(b), dtype=bool), a[~token], b)
         key, a = key[token], a[token]
         if not len(key):
             continue
@@ -229,15 +226,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = ~first & (spread != a)
         if at.any():
             pairs = np.unique(np.stack([spread[at], a[at]]), axis=1)
-            yield _batch("star a b", np.ones(pairs.shape[1], dtype=bool), *pairs)
+            yield batch_of("star a b", np.ones(pairs.shape[1], dtype=bool), *pairs)
         last, center = key[-1], spread[-1]
 
 
-def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
-    """Sizes of all pairwise intersections, as products of 0/1 matrices over stretches of the
-    elements that two or more sets hold."""
+def intersections(sets: list[np.ndarray], width: int = 8192, tile: int = 1024) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of some sets with all, as (first of them, table), a tile of
+    rows after the other: products of 0/1 matrices over stretches of the elements that two or
+    more sets hold."""
     n = len(sets)
-    out = np.zeros((n, n), dtype=np.float32)
+    # whole numbers that floats of the type hold
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64
     elements, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(elements, kind="stable")
     elements, row = elements[order], row[order]
@@ -245,15 +244,18 @@ def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
     column = np.cumsum(first) - 1
     shared = np.bincount(column)[column] > 1
     row, column = row[shared], column[shared]
+    edges = np.zeros(1, dtype=np.int64)
     if len(column):
         column = np.cumsum(np.append(False, column[1:] != column[:-1]))
         width = max(64, min(width, (1 << 22) // n))
         edges = np.searchsorted(column, np.arange(0, column[-1] + width + 1, width))
+    for at in range(0, n, tile):
+        out = np.zeros((min(tile, n - at), n), dtype=kind)
         for k, (a, z) in enumerate(zip(edges, edges[1:])):
-            held = np.zeros((n, width), dtype=np.float32)
+            held = np.zeros((n, width), dtype=kind)
             held[row[a:z], column[a:z] - k * width] = 1
-            out += held @ held.T
-    return out.astype(np.int64)
+            out += held[at:at + tile] @ held.T
+        yield at, out
 
 
 def sketch(features: np.ndarray, k: int) -> bytes:
@@ -280,83 +282,93 @@ def _sketches(width: int, num: int, den: int):
                     n.append(len(s))
                     d.append(_digests(s)[0])
                     drawn.append(sketch(s, 2 * len(s) * (den - num) // (den + num)))
-            yield _batch("id d n sketch text", batch.column(0), pa.array(d, pa.int64()),
+            yield batch_of("id d n sketch text", batch.column(0), pa.array(d, pa.int64()),
                          pa.array(n, pa.int64()), pa.array(drawn, pa.binary()), batch.column(1))
 
     return run
 
 
-def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest of those joined with each of n by the pairs."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, i, label[j])
-        np.minimum.at(label, j, label[i])
-        label = label[label]
-        if (label == before).all():
-            return label
+def _unruly(num: int, den: int, sketches: np.ndarray, n: np.ndarray, at: int, other: np.ndarray) -> np.ndarray:
+    """Of the rows ``other`` those that the sketches do not rule out to be similar to row ``at``."""
+    differ = (sketches[other] != sketches[at]).sum(axis=1)
+    return other[(den + num) * differ <= (den - num) * (n[at] + n[other])]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows with the same first values, which follow one another; single rows are left out."""
-    held, pieces = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in range(columns)], axis=1)
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-            if held is None or tuple(keys[a]) != held:
-                if sum(p.num_rows for p in pieces) > 1:
-                    yield held, pa.Table.from_batches(pieces)
-                held, pieces = tuple(keys[a]), []
-            pieces.append(batch.slice(a, z - a))
-    if sum(p.num_rows for p in pieces) > 1:
-        yield held, pa.Table.from_batches(pieces)
-
-
-def _gathered(columns: Iterator[list], names: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """Many short columns as few batches."""
-    held, rows = [], 0
-    for own in columns:
-        held.append(own)
-        rows += len(own[0])
-        if rows > most:
-            yield _batch(names, *map(np.concatenate, zip(*held)))
-            held, rows = [], 0
-    if rows:
-        yield _batch(names, *map(np.concatenate, zip(*held)))
+def _table(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows, all folded to the length of the shortest."""
+    size = min(map(len, sketches))
+    out = np.zeros((len(sketches), size), dtype=np.uint8)
+    for i, x in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0)
+    return out
+
+
+def _near_center(num: int, den: int):
+    """Rows sorted by group, centers first: centers and the members that may be similar to one."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for key, rows in grouped(batches, 2):
+            member, ids, d, n = (rows.column(c).to_numpy() for c in ("member", "id", "d", "n"))
+            table, others = _table(rows.column("sketch").to_pylist()), np.flatnonzero(member)
+            kept = np.zeros(len(ids), dtype=bool)
+            for at in np.flatnonzero(~member):
+                near = _unruly(num, den, table, n, at, others)
+                kept[near] = True
+                kept[at] = len(near) > 0
+            if kept.any():
+                yield [np.full(kept.sum(), k, dtype=np.int64) for k in key] + [member[kept], ids[kept], d[kept]]
+
+    return lambda batches: gathered(found(batches), "a chunk member id d")
+
+
+def _center_links(width: int, num: int, den: int):
+    """Rows sorted by group, centers first: links of each center and its similar members."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for _, rows in grouped(batches, 2):
+            member, ids = (rows.column(c).to_numpy() for c in ("member", "id"))
+            texts = _texts(rows, "text")
+            for at in np.flatnonzero(~member):
+                (center,) = shingle_sets([texts[at]], width)
+                for a, z in slices(texts):
+                    sets = shingle_sets(texts[a:z], width)
+                    sizes = np.array([len(s) for s in sets])
+                    row = np.repeat(np.arange(z - a), sizes)
+                    both = np.bincount(row[np.isin(np.concatenate(sets), center)], minlength=z - a)
+                    similar = member[a:z] & (den * both >= num * (sizes + len(center) - both))
+                    yield [np.full(similar.sum(), ids[at], dtype=np.int64), ids[a:z][similar]]
+
+    return lambda batches: gathered(found(batches), "a b")
 
 
 def _part(num: int, den: int):
     """Part each group into those that their sketches do not rule out to be linked. Those who
-    are in one part already are not compared, so alike documents cost one comparison each."""
-
-    def parts(n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-        size = min(map(len, sketches))
-        table = np.zeros((len(n), size), dtype=np.uint8)
-        for i, x in enumerate(sketches):
-            table[i] = np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0)
-        label = np.arange(len(n))
+    are in one part already, or joined before, are not compared."""
+
+    def parts(n: np.ndarray, sketches: np.ndarray, joined: np.ndarray) -> np.ndarray:
+        label = np.unique(joined, return_inverse=True)[1]
         for i in range(len(n) - 1):
             other = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
-            differ = (table[other] != table[i]).sum(axis=1)
-            near = label[other[(den + num) * differ <= (den - num) * (n[i] + n[other])]]
+            near = label[_unruly(num, den, sketches, n, i, other)]
             if len(near):
                 every = np.append(near, label[i])
                 label[np.isin(label, every)] = every.min()
         return label
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for key, rows in _groups(batches, 3):
-            ids, d, n = (rows.column(c).to_numpy() for c in ("id", "d", "n"))
-            label = parts(n, rows.column("sketch").to_pylist())
-            kept = np.bincount(label, minlength=len(label))[label] > 1
+        for key, rows in grouped(batches, 3):
+            ids, d, n, joined = (rows.column(c).to_numpy() for c in ("id", "d", "n", "label"))
+            label = parts(n, _table(rows.column("sketch").to_pylist()), joined)
+            # parts of documents that are all joined before have nothing new
+            ends = np.full((2, label.max() + 1), joined[0])
+            ends[0, label] = joined
+            np.maximum.at(ends[1], label, joined)
+            np.minimum.at(ends[0], label, joined)
+            kept = (ends[0] != ends[1])[label]
             if kept.any():
                 yield [np.full(kept.sum(), k, dtype=np.int64) for k in key] + [label[kept], ids[kept], d[kept]]
 
-    return lambda batches: _gathered(found(batches), "a i j part id d")
+    return lambda batches: gathered(found(batches), "a i j part id d")
 
 
 def _compare(width: int, num: int, den: int, pivots: int = 4):
@@ -379,43 +391,99 @@ def _compare(width: int, num: int, den: int, pivots: int = 4):
             label[np.isin(label, every)] = every.min()
         if len(sets) <= pivots or (label == label[0]).all():
             return label
-        both = intersections(sets)
-        return _joined(len(sets), *np.nonzero(np.triu(den * both >= num * (sizes[:, None] + sizes - both), 1)))
+        for at, both in intersections(sets):
+            for i, row in enumerate(both, at):
+                every = label[den * row.astype(np.int64) >= num * (sizes + sizes[i] - row.astype(np.int64))]
+                if (every != label[i]).any():
+                    label[np.isin(label, np.append(every, label[i]))] = min(every.min(), label[i])
+        return label
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        for _, rows in _groups(batches, 4):
+        for _, rows in grouped(batches, 4):
             ids = rows.column("id").to_numpy()
-            label = labels(rows.column("text").cast(pa.binary()).to_pylist())
+            label = labels(_texts(rows, "text"))
             moved = label != np.arange(len(label))
             yield [ids[label[moved]], ids[moved]]
 
-    return lambda batches: _gathered(found(batches), "a b")
+    return lambda batches: gathered(found(batches), "a b")
+
+
+def _with(rows: DataFrame, needed: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """Rows of groups with sketches or texts, group by group."""
+    rows = rows.join(needed.select("id", "d", *columns), ["id", "d"])
+    return rows.repartition(*keys[:-1]).sortWithinPartitions(*keys, "id")
 
 
-def _verified(scratch: Scratch, needed: DataFrame, groups: DataFrame, rules: tuple, block: int) -> DataFrame:
-    """Links among the documents of each center. A center of many documents, or of very long
-    ones, is dealt out by pairs of blocks of about ``block`` documents, or 400 times as many
-    shingles, each pair of blocks a group of its own. Sketches, a fraction of the texts, part
-    the groups first; texts follow for what is left."""
+def _star_links(scratch: Scratch, needed: DataFrame, groups: DataFrame, rules: tuple, block: int) -> DataFrame:
+    """Links of centers to members of their groups. A group of many members is dealt out in
+    chunks, each with a copy of the center."""
     sizes = groups.groupBy("a").agg(F.expr(
-        f"greatest((count(1) - 1) div {block}, least(count(1) - 1, sum(n) div {400 * block})) + 1"
-    ).alias("blocks")).filter("blocks > 1")
-    rows = groups.join(sizes, "a", "left").withColumn("own", F.expr("pmod(xxhash64(id, d), coalesce(blocks, 1))"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, coalesce(blocks, 1) - 1)"))).select(
-        "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "d"
-    )
-    rows = rows.join(needed.select("id", "d", "n", "sketch"), ["id", "d"]).select("a", "i", "j", "id", "d", "n", "sketch")
-    rows = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "id")
-    left = rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, id long, d long")
-    left = scratch.keep(left, "left")
-    key = ["a", "i", "j", "part"]
-    rows = left.join(needed.select("id", "d", "text"), ["id", "d"]).select(*key, "id", "text")
-    rows = rows.repartition(*key).sortWithinPartitions(*key, "id")
+        f"greatest((count(1) - 1) div {block}, least(count(1) - 1, sum(n) div {200 * block})) + 1").alias("chunks")).filter("chunks > 1")
+    rows = groups.join(sizes, "a", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    members = rows.filter("d <> a").select(
+        "a", F.expr("pmod(xxhash64(id, d), chunks)").alias("chunk"), F.lit(True).alias("member"), "id", "d")
+    centers = rows.filter("d = a").select(
+        "a", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.lit(False).alias("member"), "id", "d")
+    key = ["a", "chunk", "member"]
+    rows = _with(members.unionByName(centers), needed, key, "n", "sketch").select(*key, "id", "d", "n", "sketch")
+    near = scratch.keep(rows.mapInArrow(_near_center(*rules[1:]), "a long, chunk long, member boolean, id long, d long"), "near")
+    rows = _with(near, needed, key, "text").select(*key, "id", "text")
+    links = scratch.keep(rows.mapInArrow(_center_links(*rules), "a long, b long"), "star-links")
+    scratch.drop(near)
+    return links
+
+
+def _other_links(scratch: Scratch, needed: DataFrame, groups: DataFrame, joined: DataFrame, rules: tuple, block: int) -> DataFrame:
+    """Links among members of groups that are not ``joined`` (v, component) before. Groups all
+    of one component go. Of the others, the members of the most frequent component need not
+    be compared with each other. Members are dealt out in blocks of about ``block``
+    documents, or 200 times as many shingles; every two blocks of the others, and every block
+    of the others with every one of the most frequent component, are a group of their own."""
+    rows = groups.join(joined, groups["id"] == joined["v"], "left").select(
+        "a", "id", "d", "n", F.coalesce("component", "id").alias("label"))
+    rows = scratch.keep(rows, "labelled")
+    found = rows.groupBy("a", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).groupBy("a").agg(
+        F.max(F.struct("m", "label", "w")).alias("most"), F.sum("m").alias("m"), F.sum("w").alias("w"),
+        F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda m, w: F.expr(f"greatest(({m} - 1) div {block}, least({m} - 1, ({w}) div {200 * block})) + 1")
+    found = found.select(
+        "a", F.col("most.label").alias("frequent"), blocks("m - most.m", "w - most.w").alias("rest"),
+        blocks("most.m", "most.w").alias("main"), blocks("m", "w").alias("whole"))
+    rows = rows.join(found, "a").withColumn("h", F.xxhash64("id", "d"))
+    # where a row goes: i and j, blocks of the rest, or j below 0, a block of the frequent one
+    among = "transform(sequence(0L, rest - 1), x -> struct(least(x, pmod(h, rest)) as i, greatest(x, pmod(h, rest)) as j))"
+    across = "transform(sequence(0L, main - 1), x -> struct(pmod(h, rest) as i, -1 - x as j))"
+    frequent = "transform(sequence(0L, rest - 1), x -> struct(x as i, -1 - pmod(h, main) as j))"
+    places = F.expr(f"""case when whole = 1 then array(struct(0L as i, 0L as j))
+        when label = frequent then {frequent} else concat({among}, {across}) end""")
+    rows = rows.select("a", F.explode(places).alias("at"), "id", "d", "label").select("a", "at.i", "at.j", "id", "d", "label")
+    key = ["a", "i", "j"]
+    rows = _with(rows, needed, [*key, "label"], "n", "sketch").select(*key, "id", "d", "n", "label", "sketch")
+    left = scratch.keep(rows.mapInArrow(_part(*rules[1:]), "a long, i long, j long, part long, id long, d long"), "left")
+    key.append("part")
+    rows = _with(left, needed, [*key, "id"], "text").select(*key, "id", "text")
     links = scratch.keep(rows.mapInArrow(_compare(*rules), "a long, b long"), "verified")
     scratch.drop(left)
     return links
 
 
+def _merged(scratch: Scratch, pairs: DataFrame) -> DataFrame:
+    """Groups (a, b) of centers and members, of which those are put into another one that it
+    covers: three quarters of their members at least are in the group of the smallest center
+    that their own center is a member of. All members go there, so whoever met in a group
+    still meets in one, and a family whose documents have many centers in common is compared
+    once. Groups are put into such only as stay themselves."""
+    above = pairs.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("parent")).filter("parent < a")
+    rows = scratch.keep(pairs.join(above, "a", "left").select("a", "b", "parent"), "parents")
+    there = pairs.select(F.col("a").alias("parent"), "b", F.lit(1).alias("there"))
+    share = rows.filter("parent is not null").join(there, ["parent", "b"], "left").groupBy("a", "parent").agg(
+        F.count(F.lit(1)).alias("m"), F.count("there").alias("covered"))
+    moved = scratch.keep(share.filter("4 * covered >= 3 * m").select("a", "parent"), "covered")
+    moved = scratch.keep(moved.join(moved.select(F.col("a").alias("parent")), "parent", "left_anti").select("a"), "moved")
+    stay, go = rows.join(moved, "a", "left_anti"), rows.join(moved, "a", "left_semi")
+    return stay.select("a", "b").union(go.select("parent", "b")).distinct()
+
+
 def jaccard_components(
     spark: SparkSession,
     docs: DataFrame,
@@ -423,7 +491,7 @@ def jaccard_components(
     similarity: tuple[int, int] = (80, 100),
     id_col: str = "doc_id",
     text_col: str = "text",
-    block: int = 1024,
+    block: int = 8192,
 ) -> DataFrame:
     """Exact components of the graph that links documents with similar shingle sets.
 
@@ -435,11 +503,13 @@ def jaccard_components(
     rows of all that follows. Every class sends its PartEnum signatures (see ``signatures``)
     into one shuffle; signatures that repeat within a batch are combined before it, so one
     that a third of all documents share costs one row per batch. The smallest set of a
-    signature is its center. Two similar sets share a signature, and so a center; all sets of
-    a center are compared with each other, within one task or, if there are many, one task
-    per pair of blocks: by sketches that rule pairs out for certain, then by their whole sets.
-    Pairs are never listed: a task gives each document a link to the smallest that its links
-    join it with, and compares none that are joined already. No similar pair is missed.
+    signature is its center. Two similar sets share a signature, and so a center. Groups that
+    another one covers for the most part join it (see ``_merged``). Then each
+    center is compared with its members, and, in groups that these links do not join to one
+    component, the members with each other, in one task or, if there are many, in blocks: by
+    sketches that rule pairs out for certain, then by their whole sets. Pairs are never listed:
+    a task gives each document a link to the smallest that its links join it with, and compares
+    none that are joined already. No similar pair is missed.
 
     Null text is empty; empty sets link with nothing. Rows with the same identifier are one
     document, linked wherever one of its rows is. Rows without identifier link with nothing
@@ -460,24 +530,29 @@ def jaccard_components(
     met = sent.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_scan, "star boolean, a long, b long")
     met = scratch.keep(met, "met")
     stars, local = (met.filter(x).select("a", "b").distinct() for x in ("star", "not star"))
-    # what met its smallest set within a batch meets the centers of that one
-    beyond = local.join(stars.toDF("center", "a"), "a").select("center", "b")
-    pairs = scratch.keep(stars.unionByName(local).union(beyond).distinct(), "pairs")
-    groups = pairs.union(pairs.select("a", "a").distinct()).toDF("a", "d").join(classes, "d").select("a", "d", "id", "n")
+    # what met its smallest set within a batch meets the centers of that one, once each
+    centers = stars.groupBy(F.col("b").alias("a")).agg(F.collect_set("a").alias("centers"))
+    beyond = local.join(centers, "a").groupBy("b").agg(F.array_distinct(F.flatten(F.collect_set("centers"))).alias("centers"))
+    beyond = beyond.select(F.explode("centers").alias("a"), "b")
+    pairs = scratch.keep(stars.unionByName(local).unionByName(beyond).distinct(), "pairs")
+    members = scratch.keep(pairs.union(pairs.select("a", "a").distinct()), "members")
+    groups = _merged(scratch, members).toDF("a", "d").join(classes, "d").select("a", "d", "id", "n")
     groups = scratch.keep(groups, "groups")
-    needed = named.join(groups.select("id").distinct(), "id", "left_semi").select("id", "text")
+    # by a shuffle of the texts whatever the sizes, so that the plan is the same at all
+    needed = named.join(groups.select("id").distinct().hint("merge"), "id", "left_semi").select("id", "text")
     needed = scratch.keep(
         needed.mapInArrow(_sketches(*rules), "id long, d long, n long, sketch binary, text string"), "needed"
     )
-    links = _verified(scratch, needed, groups, rules, block)
-    scratch.drop(met, pairs, groups, needed)
+    links = _star_links(scratch, needed, groups, rules, block)
+    joined = components(scratch, links)
+    links = links.unionByName(_other_links(scratch, needed, groups, joined, rules, block))
+    scratch.drop(met, pairs, members, groups, needed)
 
     # identifiers of several sets join these
     several = full.groupBy("id").agg(F.min(F.struct("d", "e")).alias("x"), F.max(F.struct("d", "e")).alias("y"))
     several = scratch.keep(several.filter("x <> y").select("id"), "several")
     ties = full.join(several, "id").select(F.col("id").alias("a"), "d", "e", "n").join(classes, ["d", "e", "n"])
     parts = components(scratch, links.unionByName(ties.select("a", F.col("id").alias("b"))))
-    scratch.drop(links)
     known = classes.join(parts, classes["id"] == parts["v"], "left").select(
         "d", "e", "n", "copies", "id", F.coalesce("component", "id").alias("component")
     ).filter("copies > 1 or component <> id").drop("copies", "id")
