@@ -288,19 +288,34 @@ def _sketches(width: int, num: int, den: int):
     return run
 
 
-def _unruly(num: int, den: int, sketches: np.ndarray, n: np.ndarray, at: int, other: np.ndarray) -> np.ndarray:
-    """Of the rows ``other`` those that the sketches do not rule out to be similar to row ``at``."""
-    differ = (sketches[other] != sketches[at]).sum(axis=1)
-    return other[(den + num) * differ <= (den - num) * (n[at] + n[other])]
-
-
-def _table(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows, all folded to the length of the shortest."""
-    size = min(map(len, sketches))
-    out = np.zeros((len(sketches), size), dtype=np.uint8)
-    for i, x in enumerate(sketches):
-        out[i] = np.bitwise_xor.reduce(np.frombuffer(x, dtype=np.uint8).reshape(-1, size), axis=0)
-    return out
+class Sketches:
+    """Sketches of a group, folded to each length that occurs, so that any two documents are
+    compared at the length of the shorter one, whoever else is in the group."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray, num: int, den: int) -> None:
+        self.n, self.num, self.den = n, num, den
+        self.size = np.array([len(x) for x in raw])
+        self.folded = {}
+        for size in np.unique(self.size):
+            longer = np.flatnonzero(self.size >= size)
+            table = np.zeros((len(longer), size), dtype=np.uint8)
+            for k, i in enumerate(longer):
+                table[k] = np.bitwise_xor.reduce(np.frombuffer(raw[i], dtype=np.uint8).reshape(-1, size), axis=0)
+            place = np.zeros(len(raw), dtype=np.int64)
+            place[longer] = np.arange(len(longer))
+            self.folded[size] = place, table
+
+    def near(self, at: int, other: np.ndarray) -> np.ndarray:
+        """Of the rows ``other`` those that sizes and sketches do not rule out to be similar to
+        row ``at``."""
+        n, num, den = self.n, self.num, self.den
+        other = other[den * np.minimum(n[at], n[other]) >= num * np.maximum(n[at], n[other])]
+        common, out = np.minimum(self.size[at], self.size[other]), [other[:0]]
+        for size in np.unique(common):
+            own, (place, table) = other[common == size], self.folded[size]
+            differ = (table[place[own]] != table[place[at]]).sum(axis=1)
+            out.append(own[(den + num) * differ <= (den - num) * (n[at] + n[own])])
+        return np.concatenate(out)
 
 
 def _near_center(num: int, den: int):
@@ -309,10 +324,10 @@ def _near_center(num: int, den: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for key, rows in grouped(batches, 2):
             member, ids, d, n = (rows.column(c).to_numpy() for c in ("member", "id", "d", "n"))
-            table, others = _table(rows.column("sketch").to_pylist()), np.flatnonzero(member)
+            sketches, others = Sketches(rows.column("sketch").to_pylist(), n, num, den), np.flatnonzero(member)
             kept = np.zeros(len(ids), dtype=bool)
             for at in np.flatnonzero(~member):
-                near = _unruly(num, den, table, n, at, others)
+                near = sketches.near(at, others)
                 kept[near] = True
                 kept[at] = len(near) > 0
             if kept.any():
@@ -345,11 +360,11 @@ def _part(num: int, den: int):
     """Part each group into those that their sketches do not rule out to be linked. Those who
     are in one part already, or joined before, are not compared."""
 
-    def parts(n: np.ndarray, sketches: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    def parts(sketches: Sketches, joined: np.ndarray) -> np.ndarray:
         label = np.unique(joined, return_inverse=True)[1]
-        for i in range(len(n) - 1):
+        for i in range(len(joined) - 1):
             other = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
-            near = label[_unruly(num, den, sketches, n, i, other)]
+            near = label[sketches.near(i, other)]
             if len(near):
                 every = np.append(near, label[i])
                 label[np.isin(label, every)] = every.min()
@@ -358,7 +373,7 @@ def _part(num: int, den: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for key, rows in grouped(batches, 3):
             ids, d, n, joined = (rows.column(c).to_numpy() for c in ("id", "d", "n", "label"))
-            label = parts(n, _table(rows.column("sketch").to_pylist()), joined)
+            label = parts(Sketches(rows.column("sketch").to_pylist(), n, num, den), joined)
             # parts of documents that are all joined before have nothing new
             ends = np.full((2, label.max() + 1), joined[0])
             ends[0, label] = joined

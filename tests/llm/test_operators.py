@@ -249,6 +249,23 @@ def test_sketches_never_rule_out_too_much(n, lost, added, seed):
     assert (x != y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sketches_of_a_group_compare_at_the_length_of_the_shorter():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 3000).astype(np.uint64))
+    sets = [np.unique(np.append(base[k:n], rng.integers(0, 1 << 62, e).astype(np.uint64)))
+            for n in (20, 40, 400, 500, 3000) for k in (0, 1, 9) for e in (0, 2, 30)]
+    n = np.array([len(s) for s in sets])
+    held = ngram_join.Sketches([ngram_join.sketch(s, 2 * len(s) // 9) for s in sets], n, 80, 100)
+    every, ruled = np.arange(len(sets)), 0
+    for i in every:
+        near = set(held.near(i, every).tolist())
+        for j in every:
+            both = len(np.intersect1d(sets[i], sets[j]))
+            assert j in near or 100 * both < 80 * (n[i] + n[j] - both)
+        ruled += len(sets) - len(near)
+    assert ruled > len(sets) ** 2 / 2
+
+
 @settings(deadline=None)
 @given(st.lists(st.text(alphabet="aB é\n\t\x0b日", max_size=40), max_size=6), st.integers(1, 5))
 def test_shingle_counts(texts, width):
