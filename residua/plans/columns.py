@@ -207,15 +207,8 @@ def analysis_byte_entropy(spark, sf_dir):
 def _binary(spark, sf_dir, width: int) -> str:
     """A folder with the order prices as two binary files, one with its count before it, as a
     tool outside Spark would leave them."""
-    rows = cents(spark, sf_dir).orderBy("pos").select("value").toPandas()["value"].to_numpy().astype(f"<u{width}")
     path = f"{_shared(spark)}/binary{width}.bin"
-    half = len(rows) // 2
-    for name, data in (("a", rows[:half].tobytes()), ("b", (len(rows) - half).to_bytes(8, "little") + rows[half:].tobytes())):
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.bin")
-        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
-        out.write(data)
-        out.close()
+    files.write_binary(cents(spark, sf_dir), "pos", "value", path, f"uint{8 * width}", counted=(False, True))
     return path
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -281,3 +281,73 @@ def as_json(df: DataFrame) -> DataFrame:
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
+
+def _slices(rows: DataFrame, pos: str, value: str, path: str, kind: str, most: int) -> None:
+    """The packed values in the order of ``pos``, as parts of a folder by Spark's writer of text:
+    runs of ``most`` values (the last of a part may be shorter), each with a byte after it."""
+    dtype = np.dtype(TYPES[kind][0])
+    whole, size = pa.from_numpy_dtype(dtype), most * dtype.itemsize
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bytearray()
+        for batch in batches:
+            if batch.column(0).null_count:
+                raise ValueError("a binary column holds no null")
+            held += batch.column(0).cast(whole).to_numpy(zero_copy_only=False).astype(dtype).tobytes()
+            while len(held) >= size:
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(held[:size])])], ["content"])
+                del held[:size]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(held)])], ["content"])
+
+    at = F.col(pos).asc_nulls_last()
+    ranges = rows.repartitionByRange(max(1, -(-rows.count() // most)), at).sortWithinPartitions(at)
+    # a cast to string keeps bytes as they are
+    ranges.select(value).mapInArrow(packed, "content binary").select(F.col("content").cast("string")).write.option(
+        "compression", "none").mode("overwrite").text(path)
+
+
+def write_binary(rows: DataFrame, pos: str, value: str, path: str, kind: str = "uint32",
+                 counted: Sequence[bool] = (False,), most: int = 1 << 18) -> None:
+    """``value`` in the order of ``pos`` as one binary file for each of ``counted``, a.bin, b.bin
+    and so on, which share the values evenly; where True, the count comes first. Nulls and values
+    that the kind has no room for raise an error.
+
+    Tasks sort, check and pack ranges of ``most`` values or so. A file is one stream, so the
+    driver's JVM strings the packed ranges together, of which it holds a buffer at a time."""
+    sc, width = rows.sparkSession.sparkContext, np.dtype(TYPES[kind][0]).itemsize
+    jvm = sc._jvm
+    where = jvm.org.apache.hadoop.fs.Path
+    fs = where(path).getFileSystem(sc._jsc.hadoopConfiguration())
+    parts = f"{path}/_slices"
+    _slices(rows, pos, value, parts, kind, most)
+    found = {s.getPath().getName(): s.getLen() for s in fs.listStatus(where(parts)) if s.getPath().getName().startswith("part-")}
+    # (part, where a run begins, its bytes)
+    runs = [(name, at, min(most * width, found[name] - at - 1))
+            for name in sorted(found, key=lambda n: (int(n.split("-")[1]), n))
+            for at in range(0, found[name], most * width + 1)]
+    n, begins = sum(size for _, _, size in runs) // width, 0
+    cuts = [n * i // len(counted) * width for i in range(len(counted) + 1)]
+    todo = iter(runs)
+    name, at, size = next(todo, ("", 0, 0))
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        out = fs.create(where(f"{path}/{chr(ord('a') + i)}.bin"))
+        try:
+            if counted[i]:
+                out.write(((high - low) // width).to_bytes(8, "little"))
+            while low < high:
+                if begins + size <= low:
+                    begins += size
+                    name, at, size = next(todo)
+                take = min(begins + size, high) - low
+                part = fs.open(where(f"{parts}/{name}"))
+                try:
+                    part.seek(at + low - begins)
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, take)
+                finally:
+                    part.close()
+                low += take
+        finally:
+            out.close()
+    fs.delete(where(parts), True)
+

@@ -234,6 +234,63 @@ def test_a_large_binary_column_is_split(spark, tmp_path, kind, n):
     assert [int(r.value) for r in got] == v.tolist() and [r.pos for r in got] == list(range(n))
 
 
+@pytest.mark.parametrize("kind,n,most,counted", [
+    ("uint32", 5000, 700, (False, True)), ("uint64", 5000, 64, (False, True)), ("int64", 1000, 1 << 18, (False, True, False)),
+    ("int32", 999, 10, (True,)), ("uint32", 1, 10, (False, True)), ("uint64", 0, 10, (False, True))])
+def test_binary_columns_are_written_whole(spark, tmp_path, kind, n, most, counted):
+    """Whatever the bytes are, and wherever the runs of tasks and the files are cut."""
+    import numpy as np
+
+    dtype, sql = files.TYPES[kind]
+    v = np.random.default_rng(n).integers(np.iinfo(dtype).min, np.iinfo(dtype).max, n, dtype=dtype, endpoint=True)
+    rows = spark.createDataFrame([(i, str(x)) for i, x in enumerate(v.tolist())][::-1], "pos long, value string")
+    path = tmp_path / "x.bin"
+    files.write_binary(rows.withColumn("value", F.col("value").cast(sql)), "pos", "value", str(path), kind, counted, most)
+    assert sorted(p.name for p in path.iterdir() if p.name[0] != ".") == [f"{c}.bin" for c in "abc"[:len(counted)]]
+    for i, head in enumerate(counted):
+        part = v[n * i // len(counted):n * (i + 1) // len(counted)]
+        assert (path / f"{'abc'[i]}.bin").read_bytes() == (len(part).to_bytes(8, "little") if head else b"") + part.tobytes()
+
+
+@pytest.mark.parametrize("kind,bad", [("uint32", None), ("uint32", -1), ("uint32", 1 << 32), ("uint64", -1)])
+def test_binary_columns_hold_what_fits(spark, tmp_path, kind, bad):
+    with pytest.raises(Exception, match="null|[Ii]nteger value|out of bounds|range"):
+        files.write_binary(column(spark, [1, bad, 3]), "pos", "value", str(tmp_path / "x.bin"), kind)
+
+
+BOUNDED = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from residua import catalog
+from residua.session import session
+spark = session("bounded", "local[4]", **{
+    "spark.driver.maxResultSize": "1m", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+    "spark.checkpoint.dir": sys.argv[3] + "/shared", "spark.sql.warehouse.dir": sys.argv[3] + "/warehouse"})
+catalog.queries()[sys.argv[2]](spark, sys.argv[3]).write.parquet(sys.argv[3] + "/out")
+"""
+
+
+@pytest.mark.parametrize("name", ["source_binary_uint32"])
+def test_binary_sources_do_not_pass_through_the_driver(tmp_path, name):
+    """More orders than the driver takes in results."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    import duckdb
+    from residua import catalog
+
+    with duckdb.connect() as duck:
+        duck.sql(f"""COPY (SELECT i * 7919 % 400000 AS o_orderkey, hash(i) % 50000000 / 100.0 AS o_totalprice
+            FROM range(400000) t(i)) TO '{tmp_path}/orders.parquet'""")
+        run = subprocess.run([sys.executable, "-c", BOUNDED, str(Path(__file__).resolve().parent.parent), name, str(tmp_path)],
+                             capture_output=True, text=True, timeout=300)
+        assert run.returncode == 0, run.stderr[-3000:]
+        duck.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+        ours, theirs = f"SELECT * FROM '{tmp_path}/out/*.parquet'", catalog.oracle_sql()[name]
+        assert duck.sql(f"({ours} EXCEPT ALL {theirs}) UNION ALL ({theirs} EXCEPT ALL {ours})").fetchall() == []
+
+
 def test_the_cache_follows_its_column_and_config(spark, tmp_path):
     path, one, two = str(tmp_path / "cache"), column(spark, [1, 5, 9]), column(spark, [1, 5, 8])
     load = lambda rows, config: files.load_or_encode(spark, path, rows, "pos", "value", config)
