@@ -280,7 +280,7 @@ def test_binary_sources_do_not_pass_through_the_driver(tmp_path):
     import duckdb
     from residua import catalog
 
-    names = ["source_binary_uint32", "source_binary_uint64"]
+    names = ["source_binary_uint32", "source_binary_uint64", "source_dataset_info"]
     with duckdb.connect() as duck:
         duck.sql(f"""COPY (SELECT i * 7919 % 400000 AS o_orderkey, hash(i) % 50000000 / 100.0 AS o_totalprice
             FROM range(400000) t(i)) TO '{tmp_path}/orders.parquet'""")
