@@ -78,13 +78,18 @@ def read_binary(spark: SparkSession, path: str, kind: str = "uint32", expected:
         return spark.createDataFrame([], f"pos long, value {sql}")
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a file of an unlucky length has records of a value each: many of them make one batch
         for batch in batches:
-            for at, header, begin, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                skip = header if at == 0 else 0
-                v = np.frombuffer(content, dtype=dtype, offset=skip)
-                pos = begin + (at + skip - header) // width + np.arange(len(v))
-                held = pa.array(v).cast(pa.decimal128(20, 0)) if wide else pa.array(v.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(pos), held], ["pos", "value"])
+            size = len(batch.column(3)[0].as_py()) if batch.num_rows else 1
+            for i in range(0, batch.num_rows, step := max(1, (1 << 18) // size)):
+                some = batch.slice(i, step)
+                at, header, begin = (some.column(j).to_numpy()[:, None] for j in range(3))
+                byte = at + np.arange(0, size, width)
+                held = byte >= header
+                v = np.frombuffer(b"".join(some.column(3).to_pylist()), dtype=dtype)[held.ravel()]
+                pos = (begin + (byte - header) // width)[held]
+                out = pa.array(v).cast(pa.decimal128(20, 0)) if wide else pa.array(v.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(pos), out], ["pos", "value"])
 
     return reduce(DataFrame.unionByName, rows).mapInArrow(values, f"pos long, value {sql}")
 

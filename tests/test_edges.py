@@ -234,6 +234,20 @@ def test_a_large_binary_column_is_split(spark, tmp_path, kind, n):
     assert [int(r.value) for r in got] == v.tolist() and [r.pos for r in got] == list(range(n))
 
 
+@pytest.mark.parametrize("kind,n", [("uint32", 65_535), ("uint64", 65_538)])
+def test_a_binary_column_of_a_prime_length_is_read(spark, tmp_path, kind, n):
+    """Records are of one value then, shorter than the count of 32-bit values and as long as that
+    of 64-bit ones; their batches hold many of them."""
+    import numpy as np
+
+    v = np.arange(n, dtype=files.TYPES[kind][0]) * 40_503
+    (tmp_path / "x.bin").write_bytes(n.to_bytes(8, "little") + v.tobytes())
+    length = (tmp_path / "x.bin").stat().st_size
+    assert files._record(length, v.itemsize) == v.itemsize
+    got = files.read_column(spark, str(tmp_path / "x.bin"), kind).orderBy("pos").collect()
+    assert [int(r.value) for r in got] == v.tolist() and [r.pos for r in got] == list(range(n))
+
+
 @pytest.mark.parametrize("kind,n,most,counted", [
     ("uint32", 5000, 700, (False, True)), ("uint64", 5000, 64, (False, True)), ("int64", 1000, 1 << 18, (False, True, False)),
     ("int32", 999, 10, (True,)), ("uint32", 1, 10, (False, True)), ("uint64", 0, 10, (False, True))])
